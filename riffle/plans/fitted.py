@@ -1,0 +1,215 @@
+"""Response curves on the given tables: logistic, spline, quantile and straight lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riffle import constants as C
+from riffle.functions import semantics as S
+from riffle.models import lines, logistic, spline
+from riffle.models.frame import condition, direction, model_frame
+from riffle.operators.curves import class_levels, curve_thresholds, grid_ranges, regular_grid
+from riffle.operators.outcomes import fit_profile
+from riffle.operators.scores import drop_augmented_peaks, flag_augmented_peaks
+from riffle.plans.registry import query
+from riffle.plans.roles import with_views  # noqa: F401
+from riffle.session import materialize, new_path
+from riffle.sources import tables as IO
+
+KEYS = ["Metric", "flow_metric"]
+GLM_KEYS = [*KEYS, "direction", "Class2"]
+SMOOTHS, QUANTILES = [3, 6], C.CHOSEN_QUANTILES
+
+
+def scored(r):
+    return r.all_data().filter(F.col("Metric").isin(C.INDICES))
+
+
+def frame(r, positive: bool = False):
+    """Scores and deltas per index and metric, without augmented peaks."""
+    rows = drop_augmented_peaks(flag_augmented_peaks(scored(r)))
+    out = model_frame(rows, KEYS, "deltah_final", "MetricValue")
+    return materialize(out.filter(F.col("y") > 0) if positive else out, "frame")
+
+
+def glm_frame(r, keys=GLM_KEYS):
+    rows = model_frame(
+        scored(r).withColumn("direction", direction(F.col("deltah_final"))).filter(F.col("direction").isNotNull() & F.col("Class2").isNotNull()),
+        keys, "deltah_final", "MetricValue")
+    level = S.recode(F.col("Metric"), C.STANDARD_THRESHOLDS)
+    return materialize(rows.withColumn("y", condition(F.col("y"), level)), "glm")
+
+
+def rounded(df, **places):
+    return df.withColumns({c: F.round(c, p) for c, p in places.items()})
+
+
+_NEWTON_STEPS = 9
+_GLM_FRAME = """f0 AS MATERIALIZED (SELECT Metric, flow_metric, direction, Class2, x, score, CASE WHEN score < t THEN 0.0::double ELSE 1.0::double END AS y
+    FROM (SELECT DISTINCT Metric, flow_metric, CASE WHEN deltah_final > 0 THEN 'Pos' ELSE 'Neg' END AS direction, Class2, deltah_final AS x, MetricValue AS score,
+      CASE WHEN Metric = 'csci' THEN 0.79 ELSE 0.86 END AS t
+      FROM v_all WHERE Metric IN ('csci', 'asci') AND deltah_final <> 0 AND MetricValue IS NOT NULL AND Class2 IS NOT NULL)),
+  base AS MATERIALIZED (SELECT Metric, flow_metric, direction, Class2, count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx, sum(y) AS ones FROM f0 GROUP BY ALL),
+  f AS MATERIALIZED (SELECT f0.*, (x - mx) / sx AS z FROM f0 JOIN base USING (Metric, flow_metric, direction, Class2) WHERE n >= 3 AND ones > 0 AND ones < n AND sx > 0),
+  c0 AS (SELECT Metric, flow_metric, direction, Class2, 0.0::double AS a, 0.0::double AS b FROM f GROUP BY ALL)"""
+_GLM_STEPS = ", ".join(
+    f"""s{i} AS MATERIALIZED (SELECT Metric, flow_metric, direction, Class2, a, b, sum(p * (1 - p)) AS w, sum(p * (1 - p) * z) AS wz, sum(p * (1 - p) * z * z) AS wzz,
+      sum(y - p) AS g, sum((y - p) * z) AS gz, sum(2 * (greatest(eta, 0) + ln(1 + exp(-abs(eta))) - y * eta)) AS dev FROM (
+      SELECT f.*, a, b, a + b * z AS eta, 1 / (1 + exp(-(a + b * z))) AS p FROM f JOIN c{i} USING (Metric, flow_metric, direction, Class2)) GROUP BY ALL),
+    c{i + 1} AS MATERIALIZED (SELECT Metric, flow_metric, direction, Class2, a + (wzz * g - wz * gz) / (w * wzz - wz * wz) AS a, b + (w * gz - wz * g) / (w * wzz - wz * wz) AS b,
+      dev, sqrt(w / (w * wzz - wz * wz)) AS se FROM s{i})"""
+    for i in range(_NEWTON_STEPS))
+_GLM = f"WITH {_GLM_FRAME}, {_GLM_STEPS}"
+_GLM_LAST = f"c{_NEWTON_STEPS}"
+
+
+@query("MD1_logistic", f"""{_GLM} SELECT Metric, flow_metric, direction, Class2, n, round(b, 5) AS scaled_slope, round(a, 5) AS scaled_intercept
+    FROM base JOIN {_GLM_LAST} USING (Metric, flow_metric, direction, Class2)""")
+def md1(r):
+    models = logistic.fit_logistic(glm_frame(r), GLM_KEYS)
+    return models.select(
+        *GLM_KEYS, "n", F.round(F.col("slope") * F.col("x_sd"), 5).alias("scaled_slope"),
+        F.round(F.col("intercept") + F.col("slope") * F.col("x_mean"), 5).alias("scaled_intercept"))
+
+
+@query("MD2_logistic_summary", f"""{_GLM} SELECT Metric, flow_metric, direction, Class2, n, round(dev + 4, 4) AS AIC,
+    round(1 - dev / (-2 * (ones * ln(ones / n) + (n - ones) * ln(1 - ones / n))), 6) AS McFaddensR2
+    FROM base JOIN {_GLM_LAST} USING (Metric, flow_metric, direction, Class2)""")
+def md2(r):
+    summary = logistic.summarize_logistic(logistic.fit_logistic(glm_frame(r), GLM_KEYS))
+    return rounded(summary.select(*GLM_KEYS, "n", "AIC", "McFaddensR2"), AIC=4, McFaddensR2=6)
+
+
+@query("MD2_logistic_pvalues")
+def md2_pvalues(r):
+    """The normal tail has no SQL counterpart; tests compare it with known values."""
+    summary = logistic.summarize_logistic(logistic.fit_logistic(glm_frame(r), GLM_KEYS))
+    return summary.select(*GLM_KEYS, "status", "PValue")
+
+
+@query("MD3_logistic_fitted", f"""{_GLM} SELECT Metric, flow_metric, direction, Class2, x, y, round(1 / (1 + exp(-(a + b * z))), 4) AS predictedVals
+    FROM f JOIN {_GLM_LAST} USING (Metric, flow_metric, direction, Class2)""")
+def md3(r):
+    rows = glm_frame(r)
+    models = logistic.fit_logistic(rows, GLM_KEYS)
+    fitted = logistic.predict_logistic(models, rows, GLM_KEYS, models.count())
+    return rounded(fitted.filter(F.col("x").isNotNull()), predictedVals=4).withColumn("y", F.col("y").cast("double")).drop("status")
+
+
+@query("MD4_gamma_smooth")
+def md4(r):
+    return spline.fit_gamma(frame(r, positive=True), KEYS, dfs=[4.0]).select(*KEYS, "df", "n", "status", "edf", "pieces")
+
+
+@query("MD5_gamma_summary")
+def md5(r):
+    models = spline.fit_gamma(frame(r, positive=True), KEYS, dfs=[4.0])
+    return spline.summarize(models).select(*KEYS, "df", "n", "status", "AIC", "PValue", "R2")
+
+
+@query("MD6_spline")
+def md6(r):
+    return spline.fit_gaussian(frame(r), KEYS, [6]).select(*KEYS, "smooth", "n", "status", "edf", "lambda", "breaks", "pieces")
+
+
+@query("MD6_gamma_spline")
+def md6_gamma(r):
+    return spline.fit_gamma(frame(r, positive=True), KEYS, smooths=SMOOTHS).select(*KEYS, "smooth", "n", "status", "edf", "pieces")
+
+
+@query("MD7_spline_summary")
+def md7(r):
+    models = spline.fit_gaussian(frame(r), KEYS, C.SMOOTHS)
+    return spline.summarize(models).select(*KEYS, "smooth", "n", "status", "AIC", "EDF", "PValue", "R2", "DevExplained")
+
+
+@query("DM22_fit_profile")
+def dm22(r):
+    summary = spline.summarize(spline.fit_gaussian(frame(r), KEYS, C.SMOOTHS))
+    return fit_profile(summary, KEYS, "smooth", ["AIC", "EDF", "PValue", "R2", "DevExplained"])
+
+
+@query("MD8_spline_fitted")
+def md8(r):
+    rows = frame(r)
+    models = spline.fit_gaussian(rows, KEYS, [6])
+    return spline.predict(models, rows, KEYS, models.count())
+
+
+@query("MD9_quantile_spline")
+def md9(r):
+    return spline.fit_quantile(frame(r), KEYS, SMOOTHS, QUANTILES).select(
+        *KEYS, "smooth", "quantile", "n", "status", "loss", (F.col("below") / F.col("n")).alias("share_below"), "pieces")
+
+
+@query("MD10_quantile_summary")
+def md10(r):
+    models = spline.fit_quantile(frame(r), KEYS, SMOOTHS, QUANTILES)
+    return spline.summarize(models).select(*KEYS, "smooth", "quantile", "n", "status", "DevExplained", "PValue", "R2", "EDF")
+
+
+def curves(r, smooths=SMOOTHS, quantiles=QUANTILES):
+    """Predictions of the quantile curves on a regular grid, tagged with their configuration."""
+    rows = frame(r)
+    models = spline.fit_quantile(rows, KEYS, smooths, quantiles)
+    grid = regular_grid(grid_ranges(rows, KEYS, "x"), "x_min", "x_max", "x_step", "x").select(*KEYS, "x")
+    return spline.predict(models, grid, KEYS, models.count())
+
+
+@query("MD11_grid_prediction")
+def md11(r):
+    return curves(r).select(*KEYS, "smooth", "quantile", F.col("x").alias("deltah_final"), "predictedVals")
+
+
+@query("DM10_fitted_thresholds")
+def dm10_fitted(r):
+    """Crossings of the fitted curves with the threshold of every limit class."""
+    tagged = curves(r).select(
+        F.col("Metric").alias("Index"), S.recode(F.col("flow_metric"), C.METRIC_CODES).alias("Hydro_endpoint"),
+        F.col("smooth").alias("SmoothingFunc"), F.col("quantile").alias("Quantile"), "x", "predictedVals")
+    return curve_thresholds(tagged, ["Index", "Hydro_endpoint", "SmoothingFunc", "Quantile"], "x", "predictedVals", class_levels())
+
+
+_LINES = """SELECT Metric, flow_metric, count(*) AS n, round(regr_slope(y, x), 8) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS R2 FROM (
+    SELECT DISTINCT Metric, flow_metric, deltah_final AS x, MetricValue AS y FROM v_all
+    WHERE Metric IN ('csci', 'asci') AND deltah_final IS NOT NULL AND MetricValue IS NOT NULL
+      AND NOT (flow_metric IN ('d_peak_10', 'd_peak_2', 'd_peak_5', 'delta_q99') AND deltah_final > 0)) GROUP BY ALL"""
+
+
+@query("MD12_quantile_lines")
+def md12(r):
+    return lines.fit_quantile_lines(frame(r), KEYS)
+
+
+@query("MD13_line", _LINES)
+def md13(r):
+    return rounded(lines.fit_lines(frame(r), KEYS), slope=8, intercept=6, R2=6)
+
+
+@query("IO4_save_models", _LINES)
+def io4(r):
+    path = new_path(r.spark, "models")
+    IO.save_models(lines.fit_lines(frame(r), KEYS), path)
+    return rounded(IO.load_models(r.spark, path), slope=8, intercept=6, R2=6)
+
+
+@query("IO5_reload_models")
+def io5(r):
+    """Curves saved, reloaded and used for prediction."""
+    rows, path = frame(r), new_path(r.spark, "models")
+    IO.save_models(spline.fit_gaussian(rows, KEYS, [6]), path)
+    models = IO.load_models(r.spark, path)
+    return spline.predict(models, rows, KEYS, models.count()).groupBy(*KEYS, "smooth").agg(
+        F.count("*").alias("n"), F.min("predictedVals").alias("lowest"), F.max("predictedVals").alias("highest"))
+
+
+@query("UF1_function_per_configuration")
+def uf1(r):
+    """One model per row of the grid; the Python function sees aggregated statistics only."""
+    return spline.fit_gaussian(frame(r), KEYS, C.SMOOTHS).select(*KEYS, "smooth", "status", "edf", "rss")
+
+
+@query("UF2_failure_isolation", f"""WITH {_GLM_FRAME} SELECT Metric, flow_metric, direction, Class2, n,
+    CASE WHEN n < 3 THEN 'too_few_rows' WHEN ones = 0 OR ones = n THEN 'one_class' WHEN NOT sx > 0 THEN 'constant_x' ELSE 'ok' END AS status FROM base""")
+def uf2(r):
+    return logistic.fit_logistic(glm_frame(r), GLM_KEYS).select(*GLM_KEYS, "n", "status")
