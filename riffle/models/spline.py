@@ -24,12 +24,17 @@ from riffle.session import BROADCAST_ROWS, materialize
 
 MOMENTS = 7
 CROSS = 4
+# Intervals of the largest basis in use.
+MOST = 21
 GAMMA_STEPS = 20
-QUANTILE_STEPS = 40
+# From this step on the smoothness of a Gamma fit is held, so that the fit itself converges.
+HOLD_STEP = 5
+QUANTILE_STEPS = 24
+STRETCH = 1.9
 
 _ARRAY = T.ArrayType(T.DoubleType())
 FITTED = [
-    T.StructField("pieces", _ARRAY), T.StructField("edf", T.DoubleType()), T.StructField("rss", T.DoubleType()),
+    T.StructField("pieces", _ARRAY), T.StructField("edf_total", T.DoubleType()), T.StructField("rss", T.DoubleType()),
     T.StructField("lambda", T.DoubleType()), T.StructField("status", T.StringType()),
 ]
 
@@ -64,46 +69,41 @@ def place_knots(frame: DataFrame, keys: Sequence[str], grid: Sequence[tuple[int,
     return materialize(opened, "knots")
 
 
-def _with_models(frame: DataFrame, models: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
-    """Every observation with every model of its configuration.
+def _with_models(frame: DataFrame, models: DataFrame, keys: Sequence[str], rows: int, most: int = MOST) -> DataFrame:
+    """Every observation with every model of its configuration, its interval and place in it.
 
     The model table is broadcast when its row count, known here, is small; otherwise the
     configurations are shuffled, and a hot one is split by the adaptive skew handling.
+    ``most`` bounds the number of intervals of any model.
     """
     other = F.broadcast(models) if rows <= BROADCAST_ROWS else models
-    joined = join(frame, other, keys)
-    inner = F.size("breaks") - 2
-    most = 21
-    interval = sum(
-        (F.coalesce((F.col("x") >= F.get("breaks", F.lit(j))) & (inner >= j), F.lit(False)).cast("int") for j in range(1, most)),
-        F.lit(0),
-    )
-    located = joined.withColumn("interval", interval)
-    start, stop = F.get("breaks", F.col("interval")), F.get("breaks", F.col("interval") + 1)
-    return located.withColumn("u", (F.col("x") - start) / F.when(stop > start, stop - start))
+    passed = " + ".join(
+        [f"cast(coalesce(x >= get(breaks, {j}) AND size(breaks) - 2 >= {j}, false) AS int)" for j in range(1, most)] or ["0"])
+    located = join(frame, other, keys).withColumn("interval", F.expr(passed))
+    place = "(x - get(breaks, interval)) / nullif(get(breaks, interval + 1) - get(breaks, interval), 0d)"
+    return located.withColumn("u", F.expr(place))
 
 
-def curve_value(pieces: str = "pieces") -> Column:
+def curve_value() -> Column:
     """The fitted curve at u of the interval."""
-    at = lambda p: F.get(pieces, F.col("interval") * small.WIDTH + p)
-    u = F.col("u")
-    return at(0) + u * (at(1) + u * (at(2) + u * at(3)))
+    return F.expr(
+        "get(pieces, interval * 4) + u * (get(pieces, interval * 4 + 1) + u * (get(pieces, interval * 4 + 2)"
+        " + u * get(pieces, interval * 4 + 3)))"
+    )
 
 
-def _aggregate(rows: DataFrame, model_keys: Sequence[str], weight: Column, right: Column, sums: dict[str, Column]) -> DataFrame:
+def _aggregate(rows: DataFrame, model_keys: Sequence[str], weight: str, right: str, sums: dict[str, str]) -> DataFrame:
     """One row per model: the moments of every interval, and sums over all its rows."""
-    rows = rows.withColumns({"w": weight, "r": right, "u2": F.col("u") * F.col("u")})
-    rows = rows.withColumn("u3", F.col("u2") * F.col("u"))
-    u = {0: F.lit(1.0), 1: F.col("u"), 2: F.col("u2"), 3: F.col("u3")}
-    power = lambda p: u[p] if p <= 3 else u[p // 2] * u[p - p // 2]
+    powers = ["1d", "u", "u2", "u3", "u2 * u2", "u2 * u3", "u3 * u3"]
+    total = lambda factor, count: F.expr("array(" + ", ".join(f"sum({factor} * {p})" for p in powers[:count]) + ")")
+    rows = rows.withColumns({"w": F.expr(weight), "r": F.expr(right), "u2": F.expr("u * u")}).withColumn("u3", F.expr("u2 * u"))
     per_interval = rows.groupBy(*model_keys, "interval").agg(
-        F.array(*[F.sum(F.col("w") * power(p)) for p in range(MOMENTS)]).alias("s"),
-        F.array(*[F.sum(F.col("r") * power(p)) for p in range(CROSS)]).alias("t"),
-        *[F.sum(v).alias(name) for name, v in sums.items()],
+        total("w", MOMENTS).alias("s"), total("r", CROSS).alias("t"),
+        *[F.expr(f"sum({v})").alias(name) for name, v in sums.items()],
     )
     # At most as many rows per model as it has intervals.
     return per_interval.groupBy(*model_keys).agg(
-        F.collect_list(F.struct("interval", "s", "t")).alias("stats"), *[F.sum(n).alias(n) for n in sums]
+        F.expr("collect_list(struct(interval, s, t))").alias("stats"), *[F.sum(n).alias(n) for n in sums]
     )
 
 
@@ -144,15 +144,15 @@ def _solve_one(row: dict) -> tuple:
     return small.to_pieces(beta, pieces).tolist(), edf, rss, lam, "reduced_k" if row["reduced"] else "ok"
 
 
-def _iterate(start: DataFrame, step: Callable[[DataFrame], DataFrame], steps: int, name: str) -> DataFrame:
+def _iterate(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], steps: int, name: str) -> DataFrame:
     """Repeat a step on the models that have not converged; failed models stop at once.
 
     The models of every step are written out, so lineage does not grow and a lost executor
     costs one step. Only the model tables are kept, never rows of the data.
     """
     active, parts = start, []
-    for _ in range(steps):
-        solved = materialize(step(active), name)
+    for i in range(steps):
+        solved = materialize(step(active, i), name)
         over = F.col("converged") | F.col("pieces").isNull()
         parts.append(solved.filter(over))
         active = solved.filter(~over)
@@ -171,13 +171,14 @@ def fit_gaussian(frame: DataFrame, keys: Sequence[str], smooths: Sequence[int])
     ``frame`` has the key columns, ``x`` and ``y``. One row per model with its status, curve
     and statistics; failed models have no curve.
     """
-    return fit_gaussian_on(place_knots(frame, keys, [(k, None) for k in smooths]), frame, keys)
+    most = max(small.intervals_of(k) for k in smooths)
+    return fit_gaussian_on(place_knots(frame, keys, [(k, None) for k in smooths]), frame, keys, most)
 
 
-def fit_gaussian_on(knots: DataFrame, frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+def fit_gaussian_on(knots: DataFrame, frame: DataFrame, keys: Sequence[str], most: int = MOST) -> DataFrame:
     model_keys = [*keys, "smooth"]
-    rows = _with_models(frame, knots, keys, knots.count())
-    stats = _aggregate(rows, model_keys, F.lit(1.0), F.col("y"), {"zz": F.col("y") * F.col("y")})
+    rows = _with_models(frame, knots.select(*model_keys, "breaks"), keys, knots.count(), most)
+    stats = _aggregate(rows, model_keys, "1d", "y", {"zz": "y * y"})
     solved = _solve(
         join(knots.withColumn("target_edf", F.col("df") + 1), stats, model_keys),
         [*model_keys, "df", "breaks", "n", "y_mean", "y_var", "reduced"],
@@ -194,28 +195,28 @@ def fit_gamma(
     freedom to be met, on a basis that leaves room for them.
     """
     grid = [(int(k), None) for k in smooths] + [(int(df) + 4, float(df)) for df in dfs]
+    most = max(small.intervals_of(k) for k, _ in grid)
     knots = place_knots(frame, keys, grid)
     model_keys = [*keys, "smooth", "df"]
     count = knots.count()
     positive = knots.filter(F.col("y_min") > 0).withColumn("target_edf", F.col("df") + 1)
     carried = [*model_keys, "breaks", "n", "y_mean", "y_var", "y_log", "reduced", "target_edf", "deviance", "sse", "converged"]
 
-    def step(active: DataFrame) -> DataFrame:
-        rows = _with_models(frame, active.select(*model_keys, "breaks", "pieces"), keys, count)
-        rows = rows.withColumn("eta", F.coalesce(curve_value(), F.log("y"))).withColumn("mu", F.exp("eta"))
-        miss = F.col("y") - F.col("mu")
-        gap = miss / F.col("mu")
-        work = F.col("eta") + gap
-        stats = _aggregate(rows, model_keys, F.lit(1.0), work, {
-            "zz": work * work, "loss": 2 * (gap - F.log("y") + F.col("eta")), "new_sse": miss * miss})
+    def step(active: DataFrame, i: int) -> DataFrame:
+        rows = _with_models(frame, active.select(*model_keys, "breaks", "pieces"), keys, count, most)
+        rows = rows.withColumn("eta", F.coalesce(curve_value(), F.expr("ln(y)"))).withColumn("mu", F.expr("exp(eta)"))
+        rows = rows.withColumn("z", F.expr("eta + (y - mu) / mu"))
+        stats = _aggregate(rows, model_keys, "1d", "z", {
+            "zz": "z * z", "loss": "2 * ((y - mu) / mu - ln(y) + eta)", "new_sse": "(y - mu) * (y - mu)"})
+        held = F.expr("coalesce(target_edf, edf_total)") if i >= HOLD_STEP else F.col("target_edf")
         new = join(active.drop("pieces"), stats, model_keys).withColumns({
-            "converged": F.coalesce(F.abs(F.col("loss") - F.col("deviance")) < 1e-8 * (F.abs("loss") + 0.1), F.lit(False)),
-            "deviance": F.col("loss"), "sse": F.col("new_sse"),
+            "converged": F.expr("coalesce(abs(loss - deviance) < 1e-7 * (abs(loss) + 0.1), false)"),
+            "deviance": F.col("loss"), "sse": F.col("new_sse"), "target_edf": held,
         })
         return _solve(new, carried)
 
     start = positive.withColumns({
-        "pieces": F.lit(None).cast(_ARRAY), "deviance": F.lit(None).cast("double"), "sse": F.lit(None).cast("double")})
+        "pieces": F.lit(None).cast(_ARRAY), **{n: F.lit(None).cast("double") for n in ("deviance", "sse", "edf_total")}})
     done = _iterate(start, step, steps, "gamma")
     failed = knots.filter(~(F.col("y_min") > 0)).select(
         *model_keys, "breaks", "n", "y_mean", "y_var", "y_log", "reduced", F.lit("nonpositive_y").alias("status"))
@@ -233,14 +234,15 @@ def fit_quantile(
     fit with the same basis. Basis size 2 is a straight line.
     """
     base = fit_gaussian(frame, keys, smooths)
+    most = max(small.intervals_of(k) for k in smooths)
     keyed = [*keys, "smooth"]
     model_keys = [*keyed, "quantile"]
     fitted = base.filter(F.col("pieces").isNotNull())
     scaled = fitted.withColumns({
-        "target_edf": F.col("edf"), "tiny": 1e-4 * F.sqrt(F.greatest(F.col("rss"), F.lit(1e-12)) / F.col("n")),
+        "target_edf": F.col("edf_total"), "tiny": 1e-3 * F.sqrt(F.greatest(F.col("rss"), F.lit(1e-12)) / F.col("n")),
     })
     # Start from the mean curve, moved by the quantile of its residuals.
-    rows = _with_models(frame, fitted.select(*keyed, "breaks", "pieces"), keys, fitted.count())
+    rows = _with_models(frame, fitted.select(*keyed, "breaks", "pieces"), keys, fitted.count(), most)
     shifts = rows.groupBy(*keyed).agg(
         F.percentile_approx(F.col("y") - curve_value(), list(quantiles), 1000).alias("shift"),
         F.percentile_approx("y", list(quantiles), 1000).alias("level"),
@@ -253,29 +255,32 @@ def fit_quantile(
         "pieces", F.transform("pieces", lambda c, i: F.when(i % small.WIDTH == 0, c + F.col("move")).otherwise(c))
     )
     nothing = F.lit(None).cast("double")
-    start = materialize(moved.drop("move", "edf", "rss", "lambda", "status", "family").withColumns({
+    start = materialize(moved.drop("move", "edf_total", "rss", "lambda", "status", "family").withColumns({
         name: nothing for name in ("loss", "below", "null_loss", "sum_r", "sum_rr")}), "quantile")
     count = start.count()
     carried = [*model_keys, "df", "breaks", "n", "y_mean", "y_var", "reduced", "target_edf", "tiny", "null_value",
                "loss", "below", "null_loss", "sum_r", "sum_rr", "converged"]
 
-    def step(active: DataFrame) -> DataFrame:
-        rows = _with_models(frame, active.select(*model_keys, "breaks", "pieces", "tiny", "null_value"), keys, count)
-        tau, gap = F.col("quantile"), F.col("gap")
+    def step(active: DataFrame, i: int) -> DataFrame:
+        # Weights start blunt and sharpen, which takes fewer steps than sharp weights throughout.
+        blunt = float(max(100 * 0.4**i, 1.0))
+        rows = _with_models(frame, active.select(*model_keys, "breaks", "pieces", "tiny", "null_value"), keys, count, most)
         rows = rows.withColumn("gap", F.col("y") - curve_value()).withColumn(
-            "weight", F.lit(0.5) / (F.col("tiny") + F.abs("gap")))
-        check = lambda r: r * (tau - (r < 0).cast("double"))
-        stats = _aggregate(rows, model_keys, F.col("weight"), F.col("weight") * F.col("y") + (tau - 0.5), {
-            "zz": F.col("weight") * F.col("y") * F.col("y"), "new_loss": check(gap), "new_below": (gap < 0).cast("double"),
-            "new_null": check(F.col("y") - F.col("null_value")), "new_r": gap, "new_rr": gap * gap,
+            "weight", F.expr(f"0.5d / ({blunt}d * tiny + abs(gap))"))
+        stats = _aggregate(rows, model_keys, "weight", "weight * y + (quantile - 0.5d)", {
+            "zz": "weight * y * y", "new_loss": "gap * (quantile - if(gap < 0, 1d, 0d))", "new_below": "if(gap < 0, 1d, 0d)",
+            "new_null": "(y - null_value) * (quantile - if(y < null_value, 1d, 0d))", "new_r": "gap", "new_rr": "gap * gap",
         })
-        new = join(active.drop("pieces"), stats, model_keys).withColumns({
-            "converged": F.coalesce(
-                F.abs(F.col("loss") - F.col("new_loss")) < 1e-5 * (F.col("new_loss") + 1e-12), F.lit(False)),
-            "loss": F.col("new_loss"), "below": F.col("new_below"), "null_loss": F.col("new_null"),
-            "sum_r": F.col("new_r"), "sum_rr": F.col("new_rr"),
+        steady = f"coalesce(abs(loss - new_loss) < 3e-5 * (new_loss + 1e-12), false) AND {str(blunt == 1.0).lower()}"
+        new = join(active.withColumnRenamed("pieces", "before"), stats, model_keys).withColumns({
+            "converged": F.expr(steady), "loss": F.col("new_loss"), "below": F.col("new_below"),
+            "null_loss": F.col("new_null"), "sum_r": F.col("new_r"), "sum_rr": F.col("new_rr"),
         })
-        return _solve(new, carried)
+        if i % 2:
+            return _solve(new, carried)
+        # Majorisation steps are short: every other one is stretched, unless it is the last.
+        longer = f"if(converged OR pieces IS NULL, pieces, zip_with(before, pieces, (a, b) -> a + {STRETCH}d * (b - a)))"
+        return _solve(new, [*carried, "before"]).withColumn("pieces", F.expr(longer)).drop("before")
 
     done = _iterate(start, step, steps, "quantile")
     failed = base.filter(F.col("pieces").isNull()).select(
@@ -294,7 +299,7 @@ def summarize(models: DataFrame) -> DataFrame:
     p-values are F tests on the effective degrees of freedom: approximate, as for any
     penalised fit. The model tables are small, so this is arithmetic on a few columns.
     """
-    n, edf, family = F.col("n").cast("double"), F.col("edf"), F.col("family")
+    n, edf, family = F.col("n").cast("double"), F.col("edf_total"), F.col("family")
     has = lambda name: F.col(name) if name in models.columns else F.lit(None).cast("double")
     nonzero = lambda c: F.nullif(c, F.lit(0.0))
     tss = n * F.col("y_var")

@@ -217,13 +217,14 @@ def dm14(r):
         "masterid", "sampleyear", "Index", "Threshold", "Hydro_endpoint", "deltah_final", "IndexValueMax")
 
 
-@query("DM15_classify_outcome", f"""WITH {OUTCOMES_SQL} SELECT Index, Hydro_endpoint, Threshold, Quantile, masterid, sampleyear, deltah_final,
-    IndexValueMax, WithinHydroLimits, WithinBioLimits, Result,
-    CASE Result WHEN 'NoImpact' THEN 1 WHEN 'BioImpact' THEN 2 WHEN 'HydroImpact' THEN 3 WHEN 'BothImpact' THEN 4 END AS ResultOrder FROM outc""")
+@query("DM15_classify_outcome", f"""WITH {OUTCOMES_SQL} SELECT Index, Hydro_endpoint, Threshold, Quantile, WithinHydroLimits, WithinBioLimits, Result,
+    CASE Result WHEN 'NoImpact' THEN 1 WHEN 'BioImpact' THEN 2 WHEN 'HydroImpact' THEN 3 WHEN 'BothImpact' THEN 4 END AS ResultOrder,
+    count(*) AS n, min(deltah_final) AS lowest, max(deltah_final) AS highest, max(IndexValueMax) AS best FROM outc GROUP BY ALL""")
 def dm15(r):
-    return outcomes(r).select(
-        "Index", "Hydro_endpoint", "Threshold", "Quantile", "masterid", "sampleyear", "deltah_final", "IndexValueMax",
-        "WithinHydroLimits", "WithinBioLimits", "Result", "ResultOrder")
+    labels = ["Index", "Hydro_endpoint", "Threshold", "Quantile", "WithinHydroLimits", "WithinBioLimits", "Result", "ResultOrder"]
+    return outcomes(r).groupBy(*labels).agg(
+        F.count("*").alias("n"), F.min("deltah_final").alias("lowest"), F.max("deltah_final").alias("highest"),
+        F.max("IndexValueMax").alias("best"))
 
 
 @query("DM16_outcome_share", f"WITH {TALLY_SQL} SELECT * REPLACE (round(PercChans, 6) AS PercChans) FROM shares")

@@ -12,7 +12,6 @@ from riffle.operators.curves import class_levels, curve_thresholds, grid_ranges,
 from riffle.operators.outcomes import fit_profile
 from riffle.operators.scores import drop_augmented_peaks, flag_augmented_peaks
 from riffle.plans.registry import query
-from riffle.plans.roles import with_views  # noqa: F401
 from riffle.session import materialize, new_path
 from riffle.sources import tables as IO
 
@@ -98,7 +97,7 @@ def md3(r):
 
 @query("MD4_gamma_smooth")
 def md4(r):
-    return spline.fit_gamma(frame(r, positive=True), KEYS, dfs=[4.0]).select(*KEYS, "df", "n", "status", "edf", "pieces")
+    return spline.fit_gamma(frame(r, positive=True), KEYS, dfs=[4.0]).select(*KEYS, "df", "n", "status", "edf_total", "pieces")
 
 
 @query("MD5_gamma_summary")
@@ -109,12 +108,12 @@ def md5(r):
 
 @query("MD6_spline")
 def md6(r):
-    return spline.fit_gaussian(frame(r), KEYS, [6]).select(*KEYS, "smooth", "n", "status", "edf", "lambda", "breaks", "pieces")
+    return spline.fit_gaussian(frame(r), KEYS, [6]).select(*KEYS, "smooth", "n", "status", "edf_total", "lambda", "breaks", "pieces")
 
 
 @query("MD6_gamma_spline")
 def md6_gamma(r):
-    return spline.fit_gamma(frame(r, positive=True), KEYS, smooths=SMOOTHS).select(*KEYS, "smooth", "n", "status", "edf", "pieces")
+    return spline.fit_gamma(frame(r, positive=True), KEYS, smooths=SMOOTHS).select(*KEYS, "smooth", "n", "status", "edf_total", "pieces")
 
 
 @query("MD7_spline_summary")
@@ -158,7 +157,10 @@ def curves(r, smooths=SMOOTHS, quantiles=QUANTILES):
 
 @query("MD11_grid_prediction")
 def md11(r):
-    return curves(r).select(*KEYS, "smooth", "quantile", F.col("x").alias("deltah_final"), "predictedVals")
+    """Size and range of every predicted curve."""
+    return curves(r).groupBy(*KEYS, "smooth", "quantile").agg(
+        F.count("*").alias("n"), F.min("x").alias("x_min"), F.max("x").alias("x_max"),
+        F.min("predictedVals").alias("lowest"), F.max("predictedVals").alias("highest"))
 
 
 @query("DM10_fitted_thresholds")
@@ -206,7 +208,7 @@ def io5(r):
 @query("UF1_function_per_configuration")
 def uf1(r):
     """One model per row of the grid; the Python function sees aggregated statistics only."""
-    return spline.fit_gaussian(frame(r), KEYS, C.SMOOTHS).select(*KEYS, "smooth", "status", "edf", "rss")
+    return spline.fit_gaussian(frame(r), KEYS, C.SMOOTHS).select(*KEYS, "smooth", "status", "edf_total", "rss")
 
 
 @query("UF2_failure_isolation", f"""WITH {_GLM_FRAME} SELECT Metric, flow_metric, direction, Class2, n,

@@ -513,3 +513,9 @@ def sc8(r):
     filled = nested.filter(F.size("parts") > 0)
     requests = F.transform(F.array_distinct("parts"), lambda p: F.concat(F.lit("Z"), p.cast("string")))
     return filled.select(F.col("o_custkey").alias("parent"), F.size("parts").cast("bigint").alias("size"), F.explode(requests).alias("request"))
+
+
+@query("UF3_function_of_two_columns", _ROOTS.format(names=["high"], values=[_LEVELS["high"]]))
+def uf3(r):
+    """A function of two columns with many results: native expressions, no Python per row."""
+    return _event_roots(r, ["high"])
