@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from riffle import constants as C
 from riffle.functions.semantics import regular_steps
 from riffle.operators.joins import join
-from riffle.session import materialize
+from riffle.operators.ranks import stretches, with_last_point
 
 GRID_BLOCK = 10_000
 
@@ -53,8 +54,9 @@ def curve_roots(curve: DataFrame, keys: Sequence[str], x: str, y: str, levels: M
     depend on the key columns. Curves that cross nothing have no rows.
 
     Points are range-partitioned over (keys, x), so a curve of any length is spread over many
-    tasks; each stretch of a curve gets the state at the end of the stretch before it as one
-    extra row. All levels are found in one pass.
+    tasks; each stretch of a curve gets the last point of the stretch before it as one extra
+    row. Only the few points next to a level go on to the search for crossings, which is done
+    for all levels at once.
     """
     keys = list(keys)
     names = list(levels)
@@ -63,42 +65,32 @@ def curve_roots(curve: DataFrame, keys: Sequence[str], x: str, y: str, levels: M
         .filter(F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull() & ~F.isnan("y"))
         .distinct()
     )
-    stretches = materialize(
-        points.repartitionByRange(*keys, "x", "y").withColumn("stretch", F.spark_partition_id()), "curve"
-    )
-    place = F.struct("x", "y")
-    off_level = [F.when(F.col("y") != levels[n], F.col("y")) for n in names]
-
-    ends = stretches.groupBy(*keys, "stretch").agg(
-        F.max_by(place, place).alias("end"),
-        *[F.max_by(v, F.when(v.isNotNull(), place)).alias(f"side{j}") for j, v in enumerate(off_level)],
-    )
-    before = Window.partitionBy(*keys).orderBy("stretch")
-    carried = ends.select(
-        *keys, "stretch", F.lag("end").over(before).alias("end"),
-        *[
-            F.last(f"side{j}", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)).alias(f"side{j}")
-            for j in range(len(names))
-        ],
-    ).filter(F.col("end").isNotNull())
-
-    rows = stretches.withColumn("own", F.lit(True)).unionByName(
-        carried.select(
-            *keys, "stretch", F.col("end.x").alias("x"), F.col("end.y").alias("y"), F.lit(False).alias("own"),
-            *[f"side{j}" for j in range(len(names))],
-        ),
-        allowMissingColumns=True,
-    )
+    cut = stretches(points, keys, ["x", "y"], "curve")
     along = Window.partitionBy(*keys, "stretch").orderBy("own", "x", "y")
-    so_far = along.rowsBetween(Window.unboundedPreceding, -1)
-    steps = rows.select(
-        *keys, "stretch", "x", "y", "own",
-        F.lag("x").over(along).alias("x0"), F.lag("y").over(along).alias("y0"),
-        *[
-            F.last(F.when(F.col("own"), v).otherwise(F.col(f"side{j}")), ignorenulls=True).over(so_far).alias(f"side{j}")
-            for j, v in enumerate(off_level)
-        ],
-    ).filter("own")
+    steps = with_last_point(cut, keys).select(
+        *keys, "stretch", "x", "y", "own", F.lag("x").over(along).alias("x0"), F.lag("y").over(along).alias("y0")
+    ).filter(F.col("own") & F.col("x0").isNotNull())
+
+    # A step matters if it changes the band between levels, or starts or ends on a level.
+    truth = lambda c: F.coalesce(c, F.lit(False))
+    band = lambda v: sum((truth(v >= levels[n]).cast("int") for n in names), F.lit(0))
+    touches = lambda v: reduce(lambda a, b: a | b, [truth(v == levels[n]) for n in names])
+    near = steps.filter((band(F.col("y")) != band(F.col("y0"))) | touches(F.col("y")) | touches(F.col("y0")))
+
+    # The side a level was last seen from: y0, or where it lies on the level, an earlier y0.
+    # Steps that start on a level follow steps that end on it, so the chain is complete; it may
+    # reach back over stretches, of which only those with points on a level have rows here.
+    off = lambda j: F.when(F.col("y0") != levels[names[j]], F.col("y0"))
+    every = range(len(names))
+    in_stretch = Window.partitionBy(*keys, "stretch").orderBy("x", "y").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct("x", "y")
+    ends = near.groupBy(*keys, "stretch").agg(
+        *[F.max_by(off(j), F.when(off(j).isNotNull(), place)).alias(f"end{j}") for j in every]
+    ).select(*keys, "stretch", *[F.last(f"end{j}", ignorenulls=True).over(earlier).alias(f"end{j}") for j in every])
+    sided = join(near, ends, [*keys, "stretch"]).withColumns({
+        f"side{j}": F.coalesce(F.last(off(j), ignorenulls=True).over(in_stretch), F.col(f"end{j}")) for j in every
+    })
 
     def crossing(j: int, name: str) -> Column:
         level = levels[name]
@@ -109,7 +101,7 @@ def curve_roots(curve: DataFrame, keys: Sequence[str], x: str, y: str, levels: M
         at = F.when(F.col("y0") == level, F.col("x0")).otherwise(between)
         return F.when(opposite, F.struct(F.lit(name).alias("level"), at.alias("root")))
 
-    found = steps.withColumn(
+    found = sided.withColumn(
         "hit", F.explode(F.filter(F.array(*[crossing(j, n) for j, n in enumerate(names)]), lambda h: h.isNotNull()))
     ).select(*keys, "stretch", "hit.level", "hit.root")
     ranked = found.withColumn(

@@ -75,13 +75,14 @@ def lookup(df: DataFrame, small: DataFrame, on, rows: int | None = None) -> Data
     return join(df, small, on, "left")
 
 
-def full_lookup(df: DataFrame, small: DataFrame, on, rows: int) -> DataFrame:
+def full_lookup(df: DataFrame, small: DataFrame, on, rows: int, known: DataFrame | None = None) -> DataFrame:
     """Full join to a dimension of known size: the large table is not shuffled by the key.
 
-    Keys that only the dimension has are found against the distinct keys of the table.
+    Keys that only the dimension has are found against the distinct keys of the table, or
+    against ``known``, if the caller has a cheaper table with the same keys.
     """
     keys = _keys(on)
-    alone = without(small, df.select(*keys), {b: a for a, b in keys.items()})
+    alone = without(small, (df if known is None else known).select(*keys), {b: a for a, b in keys.items()})
     alone = alone.withColumnsRenamed({b: a for a, b in keys.items()})
     return lookup(df, small, on, rows).unionByName(alone, allowMissingColumns=True)
 

@@ -38,7 +38,8 @@ def sites_with_limits(values: DataFrame, limits: DataFrame, limit_rows: int) ->
     table is smallest; neither step changes it. Limits of classes without sites stay.
     """
     scored = with_overall_classes(best_score(values), "Threshold")
-    return full_lookup(scored, limits, LIMIT_KEYS, limit_rows)
+    known = with_overall_classes(values.select(*LIMIT_KEYS).distinct(), "Threshold")
+    return full_lookup(scored, limits, LIMIT_KEYS, limit_rows, known)
 
 
 def classify_outcome(df: DataFrame) -> DataFrame:

@@ -21,6 +21,19 @@ def stretches(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
     return materialize(ranged, name)
 
 
+def with_last_point(cut: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add to every stretch the last point (x, y) of the stretch before it.
+
+    Added rows have ``own`` false and come first in order of (own, x, y).
+    """
+    keys = list(keys)
+    ends = cut.groupBy(*keys, "stretch").agg(F.max(F.struct("x", "y")).alias("end"))
+    before = F.lag("end").over(Window.partitionBy(*keys).orderBy("stretch"))
+    carried = ends.withColumn("end", before).filter(F.col("end").isNotNull()).select(
+        *keys, "stretch", "end.x", "end.y", F.lit(False).alias("own"))
+    return cut.withColumn("own", F.lit(True)).unionByName(carried)
+
+
 def next_point(curve: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """The following point of the curve on every point, in order of x."""
     keys = list(keys)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from riffle.operators import outcomes as O
 from riffle.operators.limits import adjust_limits, choose_models, delta_range, limits_long
+from riffle.session import materialize
 
 
 def adjusted_limits(thresholds: DataFrame, flow: DataFrame) -> DataFrame:
@@ -16,15 +16,15 @@ def adjusted_limits(thresholds: DataFrame, flow: DataFrame) -> DataFrame:
 
 
 def outcomes(all_data: DataFrame, limits: DataFrame, limit_rows: int) -> DataFrame:
-    """Every site value with its limits, verdicts and outcome."""
-    return O.classify_outcome(O.sites_with_limits(O.site_values(all_data), limits, limit_rows))
+    """Every site value with its limits, verdicts and outcome.
+
+    The joined site values are written once: scores, positions and keys are read from them in
+    three places, and the joins below them are the most expensive part.
+    """
+    values = materialize(O.site_values(all_data), "site-values")
+    return O.classify_outcome(O.sites_with_limits(values, limits, limit_rows))
 
 
 def report(all_data: DataFrame, limits: DataFrame, limit_rows: int) -> DataFrame:
     """Outcome counts and percentages under report names."""
     return O.clean_names(O.outcome_share(outcomes(all_data, limits, limit_rows)))
-
-
-def both_counts(labelled: DataFrame) -> DataFrame:
-    """Tally with rows and with distinct sites."""
-    return O.outcome_share(labelled, sites=True).orderBy(F.col("Index"), F.col("Hydro_endpoint"))

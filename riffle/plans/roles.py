@@ -124,16 +124,16 @@ VIEWS: dict[str, str] = {
     "v_flow_wide": f"""SELECT cast(o_custkey AS varchar) AS masterid,
         {_LON.format(k='o_custkey')} AS longitude, {_LAT.format(k='o_custkey')} AS latitude,
         cast(sum(cast(l_quantity AS bigint)) - 26 * count(*) AS double) AS d_ds_mag_50,
-        cast(sum(l_linenumber) - 4 * count(*) AS double) AS d_fa_mag,
+        cast(sum(l_linenumber) - 4 * count(*) + 8 AS double) AS d_fa_mag,
         cast(sum(cast(round(l_discount * 100) AS bigint)) - 5 * count(*) AS double) AS d_peak_10,
         cast(sum(cast(round(l_tax * 100) AS bigint)) - 4 * count(*) AS double) AS d_peak_2,
         cast(nullif(sum(cast(round((l_discount - l_tax) * 100) AS bigint)) - count(*), 0) AS double) AS d_peak_5,
         cast(sum(CASE WHEN l_returnflag = 'R' THEN cast(l_quantity AS bigint) ELSE 0 END)
-           - sum(CASE WHEN l_returnflag = 'A' THEN cast(l_quantity AS bigint) ELSE 0 END) AS double) AS d_sp_mag,
+           - sum(CASE WHEN l_returnflag = 'A' THEN cast(l_quantity AS bigint) ELSE 0 END) + 60 AS double) AS d_sp_mag,
         cast(sum(CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END)
-           - sum(CASE WHEN l_returnflag = 'N' THEN l_linenumber ELSE 0 END) AS double) AS d_wet_bfl_mag_10,
+           - sum(CASE WHEN l_returnflag = 'N' THEN l_linenumber ELSE 0 END) + 12 AS double) AS d_wet_bfl_mag_10,
         cast(sum(CASE WHEN l_returnflag = 'A' THEN cast(l_quantity AS bigint) ELSE 0 END)
-           - sum(CASE WHEN l_returnflag = 'N' THEN cast(l_quantity AS bigint) ELSE 0 END) AS double) AS d_wet_bfl_mag_50,
+           - sum(CASE WHEN l_returnflag = 'N' THEN cast(l_quantity AS bigint) ELSE 0 END) - 40 AS double) AS d_wet_bfl_mag_50,
         cast(sum(CASE WHEN l_linestatus = 'O' THEN cast(l_quantity AS bigint) ELSE -cast(l_quantity AS bigint) END) AS double) AS delta_q99
         FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey""",
     "v_flow_long": "SELECT masterid, longitude, latitude, flow_metric, deltah_final FROM (" + " UNION ALL ".join(
@@ -250,13 +250,13 @@ class Roles:
         number = F.col("l_linenumber")
         deltas = {
             "d_ds_mag_50": F.sum(quantity) - 26 * rows,
-            "d_fa_mag": F.sum(number) - 4 * rows,
+            "d_fa_mag": F.sum(number) - 4 * rows + 8,
             "d_peak_10": F.sum(cents(F.col("l_discount"))) - 5 * rows,
             "d_peak_2": F.sum(cents(F.col("l_tax"))) - 4 * rows,
             "d_peak_5": F.nullif(F.sum(cents(F.col("l_discount") - F.col("l_tax"))) - rows, F.lit(0)),
-            "d_sp_mag": only("R", quantity) - only("A", quantity),
-            "d_wet_bfl_mag_10": only("R", number) - only("N", number),
-            "d_wet_bfl_mag_50": only("A", quantity) - only("N", quantity),
+            "d_sp_mag": only("R", quantity) - only("A", quantity) + 60,
+            "d_wet_bfl_mag_10": only("R", number) - only("N", number) + 12,
+            "d_wet_bfl_mag_50": only("A", quantity) - only("N", quantity) - 40,
             "delta_q99": F.sum(F.when(F.col("l_linestatus") == "O", quantity).otherwise(-quantity)),
         }
         return joined.groupBy("o_custkey").agg(*[v.cast("double").alias(k) for k, v in deltas.items()]).select(
