@@ -43,20 +43,20 @@ def fit_logistic(frame: DataFrame, keys: Sequence[str], steps: int = STEPS, tole
         current = active.select(*keys, "x_mean", "x_sd", "a", "b")
         rows = join(frame, F.broadcast(current) if count <= BROADCAST_ROWS else current, keys)
         z = (F.col("x") - F.col("x_mean")) / F.col("x_sd")
-        rows = rows.withColumn("z", z).withColumn("eta", F.col("a") + F.col("b") * F.col("z")).withColumn(
-            "p", 1 / (1 + F.exp(-F.col("eta"))))
-        w, gap, eta = F.col("p") * (1 - F.col("p")), y - F.col("p"), F.col("eta")
+        rows = rows.withColumn("z_", z).withColumn("eta_", F.col("a") + F.col("b") * F.col("z_")).withColumn(
+            "p_", 1 / (1 + F.exp(-F.col("eta_"))))
+        w, gap, eta = F.col("p_") * (1 - F.col("p_")), y - F.col("p_"), F.col("eta_")
         sums = rows.groupBy(*keys).agg(
-            F.sum(w).alias("w"), F.sum(w * F.col("z")).alias("wz"), F.sum(w * F.col("z") * F.col("z")).alias("wzz"),
-            F.sum(gap).alias("g"), F.sum(gap * F.col("z")).alias("gz"),
+            F.sum(w).alias("w_"), F.sum(w * F.col("z_")).alias("wz_"), F.sum(w * F.col("z_") * F.col("z_")).alias("wzz_"),
+            F.sum(gap).alias("g_"), F.sum(gap * F.col("z_")).alias("gz_"),
             F.sum(2 * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))) - y * eta)).alias("loss"),
         )
-        det = F.nullif(F.col("w") * F.col("wzz") - F.col("wz") * F.col("wz"), F.lit(0.0))
-        step_a = (F.col("wzz") * F.col("g") - F.col("wz") * F.col("gz")) / det
-        step_b = (F.col("w") * F.col("gz") - F.col("wz") * F.col("g")) / det
+        det = F.nullif(F.col("w_") * F.col("wzz_") - F.col("wz_") * F.col("wz_"), F.lit(0.0))
+        step_a = (F.col("wzz_") * F.col("g_") - F.col("wz_") * F.col("gz_")) / det
+        step_b = (F.col("w_") * F.col("gz_") - F.col("wz_") * F.col("g_")) / det
         # Deviance and standard error belong to the coefficients before the step.
         moved = join(active, sums, keys).withColumns({
-            "deviance": F.col("loss"), "b_se": F.sqrt(F.col("w") / det), "da": step_a, "db": step_b,
+            "deviance": F.col("loss"), "b_se": F.sqrt(F.col("w_") / det), "da": step_a, "db": step_b,
         }).withColumns({
             "moved": F.coalesce(F.abs("da") + F.abs("db"), F.lit(float("inf"))),
             "a": F.col("a") + F.coalesce("da", F.lit(0.0)), "b": F.col("b") + F.coalesce("db", F.lit(0.0)),

@@ -96,9 +96,9 @@ def _aggregate(rows: DataFrame, model_keys: Sequence[str], weight: str, right: s
     """One row per model: the moments of every interval, and sums over all its rows."""
     powers = ["1d", "u", "u2", "u3", "u2 * u2", "u2 * u3", "u3 * u3"]
     total = lambda factor, count: F.expr("array(" + ", ".join(f"sum({factor} * {p})" for p in powers[:count]) + ")")
-    rows = rows.withColumns({"w": F.expr(weight), "r": F.expr(right), "u2": F.expr("u * u")}).withColumn("u3", F.expr("u2 * u"))
+    rows = rows.withColumns({"w_": F.expr(weight), "r_": F.expr(right), "u2": F.expr("u * u")}).withColumn("u3", F.expr("u2 * u"))
     per_interval = rows.groupBy(*model_keys, "interval").agg(
-        total("w", MOMENTS).alias("s"), total("r", CROSS).alias("t"),
+        total("w_", MOMENTS).alias("s"), total("r_", CROSS).alias("t"),
         *[F.expr(f"sum({v})").alias(name) for name, v in sums.items()],
     )
     # At most as many rows per model as it has intervals.

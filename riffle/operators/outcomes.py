@@ -11,7 +11,7 @@ from riffle import constants as C
 from riffle.functions.semantics import if_else, ordinal, recode, share
 from riffle.operators.joins import full_lookup
 from riffle.operators.reshape import long_to_wide, wide_to_long, with_overall_classes
-from riffle.operators.scores import best_score
+from riffle.operators.scores import with_best_score
 
 LIMIT_KEYS = ["Index", "Hydro_endpoint", "Threshold"]
 TALLY_KEYS = ["Index", "Hydro_endpoint", "Flow_Metric_Name", "Threshold", "Quantile", "metric"]
@@ -35,9 +35,11 @@ def sites_with_limits(values: DataFrame, limits: DataFrame, limit_rows: int) ->
     """Site values with their best score, once per class they belong to, and its limits.
 
     The best score is found before the classes are opened and the limits joined, while the
-    table is smallest; neither step changes it. Limits of classes without sites stay.
+    table is smallest; neither step changes it. Duplicates go once, after the classes are
+    opened; as the limits of a class are unique, no later step needs to drop any. Limits of
+    classes without sites stay.
     """
-    scored = with_overall_classes(best_score(values), "Threshold")
+    scored = with_overall_classes(with_best_score(values), "Threshold")
     known = with_overall_classes(values.select(*LIMIT_KEYS).distinct(), "Threshold")
     return full_lookup(scored, limits, LIMIT_KEYS, limit_rows, known)
 
@@ -66,13 +68,19 @@ def classify_outcome(df: DataFrame) -> DataFrame:
     )
 
 
-def outcome_share(outcomes: DataFrame, keys: Sequence[str] = TALLY_KEYS, sites: bool = False) -> DataFrame:
+def outcome_share(
+    outcomes: DataFrame, keys: Sequence[str] = TALLY_KEYS, sites: bool = False, unique: bool = False
+) -> DataFrame:
     """Distinct rows per outcome and their percentage of the group.
 
+    ``unique=True`` says that the rows are distinct, as :func:`sites_with_limits` makes them,
+    and saves a shuffle of whole rows.
+
     Rows without a limit or a score verdict are left out. A site sampled in several years
     has several rows; ``sites=True`` adds the number of distinct sites.
     """
-    kept = outcomes.na.drop(subset=["metric", "WithinBioLimits"]).distinct()
+    kept = outcomes.na.drop(subset=["metric", "WithinBioLimits"])
+    kept = kept if unique else kept.distinct()
     counts = [F.count("*").alias("n")] + ([F.count_distinct("masterid").alias("n_sites")] if sites else [])
     tally = kept.groupBy(*keys, "Result").agg(*counts)
     return tally.withColumn("PercChans", share(F.col("n"), keys))

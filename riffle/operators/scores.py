@@ -121,11 +121,16 @@ def drop_augmented_peaks(flagged: DataFrame) -> DataFrame:
     return flagged.filter(~(F.col("PeakAug") == "Yes"))
 
 
-def best_score(df: DataFrame, keys: Sequence[str] = ("masterid", "Index"), value: str = "IndexValue") -> DataFrame:
-    """Put the best score of the site on every row, then drop duplicate rows.
+def with_best_score(df: DataFrame, keys: Sequence[str] = ("masterid", "Index"), value: str = "IndexValue") -> DataFrame:
+    """Put the best score of the site on every row in place of the score; duplicates stay.
 
     One missing score makes the best score of the site missing. The maximum is an aggregate
     joined back, not a window, so no task holds all rows of a site.
     """
     best = df.groupBy(*keys).agg(max_or_null(F.col(value)).alias(f"{value}Max"))
-    return join(df.drop(value).distinct(), best, list(keys), "left")
+    return join(df.drop(value), best, list(keys), "left")
+
+
+def best_score(df: DataFrame, keys: Sequence[str] = ("masterid", "Index"), value: str = "IndexValue") -> DataFrame:
+    """The best score of the site on every row, without duplicate rows."""
+    return with_best_score(df, keys, value).distinct()

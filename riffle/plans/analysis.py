@@ -15,16 +15,20 @@ def adjusted_limits(thresholds: DataFrame, flow: DataFrame) -> DataFrame:
     return adjust_limits(limits_long(choose_models(thresholds)), lowest, highest)
 
 
-def outcomes(all_data: DataFrame, limits: DataFrame, limit_rows: int) -> DataFrame:
-    """Every site value with its limits, verdicts and outcome.
+def site_values(all_data: DataFrame) -> DataFrame:
+    """The joined site values, written once.
 
-    The joined site values are written once: scores, positions and keys are read from them in
-    three places, and the joins below them are the most expensive part.
+    Scores, positions and keys are read from them in three places, and the joins below them are
+    the most expensive part.
     """
-    values = materialize(O.site_values(all_data), "site-values")
-    return O.classify_outcome(O.sites_with_limits(values, limits, limit_rows))
+    return materialize(O.site_values(all_data), "site-values")
+
+
+def outcomes(all_data: DataFrame, limits: DataFrame, limit_rows: int) -> DataFrame:
+    """Every site value with its limits, verdicts and outcome; rows are distinct."""
+    return O.classify_outcome(O.sites_with_limits(site_values(all_data), limits, limit_rows))
 
 
 def report(all_data: DataFrame, limits: DataFrame, limit_rows: int) -> DataFrame:
     """Outcome counts and percentages under report names."""
-    return O.clean_names(O.outcome_share(outcomes(all_data, limits, limit_rows)))
+    return O.clean_names(O.outcome_share(outcomes(all_data, limits, limit_rows), unique=True))

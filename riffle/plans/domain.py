@@ -213,7 +213,7 @@ _CLASS_REPORT = f"""{TALLY_SQL}, byclass AS (SELECT Index, FlowMetric, ModifiedC
 
 @query("DM14_best_score", f"WITH {_VALUES} SELECT masterid, sampleyear, Index, Threshold, Hydro_endpoint, deltah_final, IndexValueMax FROM best")
 def dm14(r):
-    return O.best_score(O.site_values(r.all_data())).select(
+    return SC.best_score(analysis.site_values(r.all_data())).select(
         "masterid", "sampleyear", "Index", "Threshold", "Hydro_endpoint", "deltah_final", "IndexValueMax")
 
 
@@ -229,7 +229,7 @@ def dm15(r):
 
 @query("DM16_outcome_share", f"WITH {TALLY_SQL} SELECT * REPLACE (round(PercChans, 6) AS PercChans) FROM shares")
 def dm16(r):
-    return _rounded(O.outcome_share(outcomes(r), sites=True), "PercChans")
+    return _rounded(O.outcome_share(outcomes(r), sites=True, unique=True), "PercChans")
 
 
 @query("DM16_rows_left_out", f"""WITH {OUTCOMES_SQL} SELECT count_if(metric IS NULL) AS without_limit,
