@@ -32,10 +32,14 @@ def frame(r, positive: bool = False):
 
 
 def glm_frame(r, keys=GLM_KEYS):
+    """Condition and delta per index, metric, direction and class; the class is the last key."""
     rows = model_frame(
-        scored(r).withColumn("direction", direction(F.col("deltah_final"))).filter(F.col("direction").isNotNull() & F.col("Class2").isNotNull()),
+        scored(r).withColumn("direction", direction(F.col("deltah_final"))).filter(F.col("direction").isNotNull() & F.col(keys[-1]).isNotNull()),
         keys, "deltah_final", "MetricValue")
-    level = S.recode(F.col("Metric"), C.STANDARD_THRESHOLDS)
+    if keys[-1] == "Class2":
+        level = S.recode(F.col("Metric"), C.STANDARD_THRESHOLDS)
+    else:
+        level = S.by_index(F.col("Metric"), F.col(keys[-1]), C.CONDITION_THRESHOLDS)
     return materialize(rows.withColumn("y", condition(F.col("y"), level)), "glm")
 
 
@@ -44,22 +48,38 @@ def rounded(df, **places):
 
 
 _NEWTON_STEPS = 9
-_GLM_FRAME = """f0 AS MATERIALIZED (SELECT Metric, flow_metric, direction, Class2, x, score, CASE WHEN score < t THEN 0.0::double ELSE 1.0::double END AS y
-    FROM (SELECT DISTINCT Metric, flow_metric, CASE WHEN deltah_final > 0 THEN 'Pos' ELSE 'Neg' END AS direction, Class2, deltah_final AS x, MetricValue AS score,
-      CASE WHEN Metric = 'csci' THEN 0.79 ELSE 0.86 END AS t
-      FROM v_all WHERE Metric IN ('csci', 'asci') AND deltah_final <> 0 AND MetricValue IS NOT NULL AND Class2 IS NOT NULL)),
-  base AS MATERIALIZED (SELECT Metric, flow_metric, direction, Class2, count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx, sum(y) AS ones FROM f0 GROUP BY ALL),
-  f AS MATERIALIZED (SELECT f0.*, (x - mx) / sx AS z FROM f0 JOIN base USING (Metric, flow_metric, direction, Class2) WHERE n >= 3 AND ones > 0 AND ones < n AND sx > 0),
-  c0 AS (SELECT Metric, flow_metric, direction, Class2, 0.0::double AS a, 0.0::double AS b FROM f GROUP BY ALL)"""
-_GLM_STEPS = ", ".join(
-    f"""s{i} AS MATERIALIZED (SELECT Metric, flow_metric, direction, Class2, a, b, sum(p * (1 - p)) AS w, sum(p * (1 - p) * z) AS wz, sum(p * (1 - p) * z * z) AS wzz,
+
+
+def _glm_frame(cls: str, level: str) -> str:
+    return f"""f0 AS MATERIALIZED (SELECT Metric, flow_metric, direction, {cls}, x, score, CASE WHEN score < t THEN 0.0::double ELSE 1.0::double END AS y
+    FROM (SELECT DISTINCT Metric, flow_metric, CASE WHEN deltah_final > 0 THEN 'Pos' ELSE 'Neg' END AS direction, {cls}, deltah_final AS x, MetricValue AS score,
+      {level} AS t
+      FROM v_all WHERE Metric IN ('csci', 'asci') AND deltah_final <> 0 AND MetricValue IS NOT NULL AND {cls} IS NOT NULL)),
+  base AS MATERIALIZED (SELECT Metric, flow_metric, direction, {cls}, count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx, sum(y) AS ones FROM f0 GROUP BY ALL),
+  f AS MATERIALIZED (SELECT f0.*, (x - mx) / sx AS z FROM f0 JOIN base USING (Metric, flow_metric, direction, {cls}) WHERE n >= 3 AND ones > 0 AND ones < n AND sx > 0),
+  c0 AS (SELECT Metric, flow_metric, direction, {cls}, 0.0::double AS a, 0.0::double AS b FROM f GROUP BY ALL)"""
+
+
+def _glm_sql(cls: str, level: str) -> str:
+    """Newton's method as a chain of tables, each step an aggregate."""
+    steps = ", ".join(
+        f"""s{i} AS MATERIALIZED (SELECT Metric, flow_metric, direction, {cls}, a, b, sum(p * (1 - p)) AS w, sum(p * (1 - p) * z) AS wz, sum(p * (1 - p) * z * z) AS wzz,
       sum(y - p) AS g, sum((y - p) * z) AS gz, sum(2 * (greatest(eta, 0) + ln(1 + exp(-abs(eta))) - y * eta)) AS dev FROM (
-      SELECT f.*, a, b, a + b * z AS eta, 1 / (1 + exp(-(a + b * z))) AS p FROM f JOIN c{i} USING (Metric, flow_metric, direction, Class2)) GROUP BY ALL),
-    c{i + 1} AS MATERIALIZED (SELECT Metric, flow_metric, direction, Class2, a + (wzz * g - wz * gz) / (w * wzz - wz * wz) AS a, b + (w * gz - wz * g) / (w * wzz - wz * wz) AS b,
+      SELECT f.*, a, b, a + b * z AS eta, 1 / (1 + exp(-(a + b * z))) AS p FROM f JOIN c{i} USING (Metric, flow_metric, direction, {cls})) GROUP BY ALL),
+    c{i + 1} AS MATERIALIZED (SELECT Metric, flow_metric, direction, {cls}, a + (wzz * g - wz * gz) / (w * wzz - wz * wz) AS a, b + (w * gz - wz * g) / (w * wzz - wz * wz) AS b,
       dev, sqrt(w / (w * wzz - wz * wz)) AS se FROM s{i})"""
-    for i in range(_NEWTON_STEPS))
-_GLM = f"WITH {_GLM_FRAME}, {_GLM_STEPS}"
+        for i in range(_NEWTON_STEPS)
+    )
+    return f"WITH {_glm_frame(cls, level)}, {steps}"
+
+
+_STANDARD = "CASE WHEN Metric = 'csci' THEN 0.79 ELSE 0.86 END"
+_PER_CLASS = "CASE Metric || channel_engineering_class " + " ".join(
+    f"WHEN '{m}{c}' THEN {v}" for m, row in C.CONDITION_THRESHOLDS.items() for c, v in row.items()) + " END"
+_GLM_FRAME = _glm_frame("Class2", _STANDARD)
+_GLM = _glm_sql("Class2", _STANDARD)
 _GLM_LAST = f"c{_NEWTON_STEPS}"
+CLASS_KEYS = [*KEYS, "direction", "channel_engineering_class"]
 
 
 @query("MD1_logistic", f"""{_GLM} SELECT Metric, flow_metric, direction, Class2, n, round(b, 5) AS scaled_slope, round(a, 5) AS scaled_intercept
@@ -71,6 +91,16 @@ def md1(r):
         F.round(F.col("intercept") + F.col("slope") * F.col("x_mean"), 5).alias("scaled_intercept"))
 
 
+@query("MD1_logistic_by_class", f"""{_glm_sql('channel_engineering_class', _PER_CLASS)}
+    SELECT Metric, flow_metric, direction, channel_engineering_class, n, round(b, 4) AS scaled_slope
+    FROM base JOIN {_GLM_LAST} USING (Metric, flow_metric, direction, channel_engineering_class) WHERE n >= 100""")
+def md1_by_class(r):
+    """One model per channel class, with the threshold of the class; small groups may be separated."""
+    models = logistic.fit_logistic(glm_frame(r, CLASS_KEYS), CLASS_KEYS)
+    return models.filter((F.col("n") >= 100) & (F.col("ones") > 0) & (F.col("ones") < F.col("n"))).select(
+        *CLASS_KEYS, "n", F.round(F.col("slope") * F.col("x_sd"), 4).alias("scaled_slope"))
+
+
 @query("MD2_logistic_summary", f"""{_GLM} SELECT Metric, flow_metric, direction, Class2, n, round(dev + 4, 4) AS AIC,
     round(1 - dev / (-2 * (ones * ln(ones / n) + (n - ones) * ln(1 - ones / n))), 6) AS McFaddensR2
     FROM base JOIN {_GLM_LAST} USING (Metric, flow_metric, direction, Class2)""")
@@ -100,6 +130,14 @@ def md4(r):
     return spline.fit_gamma(frame(r, positive=True), KEYS, dfs=[4.0]).select(*KEYS, "df", "n", "status", "edf_total", "pieces")
 
 
+@query("MD4_gamma_by_class")
+def md4_by_class(r):
+    keys = [*KEYS, "Class2"]
+    rows = model_frame(scored(r).filter(F.col("Class2").isNotNull()), keys, "deltah_final", "MetricValue").filter(F.col("y") > 0)
+    models = spline.fit_gamma(materialize(rows, "frame"), keys, dfs=[4.0])
+    return spline.summarize(models).select(*keys, "n", "status", "AIC", "PValue", "R2")
+
+
 @query("MD5_gamma_summary")
 def md5(r):
     models = spline.fit_gamma(frame(r, positive=True), KEYS, dfs=[4.0])

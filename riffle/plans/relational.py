@@ -503,16 +503,23 @@ def sc7(r):
     return r.asci_raw().select("masterid", "sampledate", S.year_of(F.col("sampledate")).alias("sampleyear"))
 
 
-@query("SC8_arrays", """SELECT o_custkey AS parent, 'Z' || l_partkey AS request, size FROM (
-    SELECT o_orderkey, o_custkey, array_length(list(l_partkey)) AS size, list_distinct(list(l_partkey)) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
-    , unnest(parts) AS t(l_partkey)""")
+@query("SC8_arrays", """SELECT vec_id AS parent, size, 'V' || label AS request, cast(v AS double) AS v FROM (
+    SELECT vec_id, label, len(embedding) AS size, unnest(list_filter(embedding, x -> x > 0.1)) AS v FROM embeddings)""")
 def sc8(r):
-    """Items per order as an array; empty ones dropped; flattened with the parent key."""
-    items = r.table("lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
-    nested = J.join(r.table("orders").select("o_orderkey", "o_custkey"), items, {"o_orderkey": "l_orderkey"}, "left")
-    filled = nested.filter(F.size("parts") > 0)
-    requests = F.transform(F.array_distinct("parts"), lambda p: F.concat(F.lit("Z"), p.cast("string")))
-    return filled.select(F.col("o_custkey").alias("parent"), F.size("parts").cast("bigint").alias("size"), F.explode(requests).alias("request"))
+    """Build a request per parent, drop empty and small elements, flatten with the parent key."""
+    kept = F.filter("embedding", lambda v: v > F.lit(0.1).cast("float"))
+    return r.table("embeddings").filter(F.size("embedding") > 0).select(
+        F.col("vec_id").alias("parent"), F.size("embedding").cast("bigint").alias("size"),
+        F.concat(F.lit("V"), F.col("label").cast("string")).alias("request"), F.explode(kept).alias("v")
+    ).withColumn("v", F.col("v").cast("double"))
+
+
+@query("JN5_scores_and_classes", """SELECT coalesce(s.masterid, c.masterid) AS masterid, sampleyear, Metric, MetricValue, channel_engineering_class,
+    CASE WHEN channel_engineering_class = 'NAT' THEN 'Natural' WHEN channel_engineering_class <> 'NAT' THEN 'Modified' END AS Class2
+    FROM v_scores s FULL JOIN v_site c ON s.masterid = c.masterid""")
+def jn5_scores(r):
+    """Scores and classes, keeping the samples without class and the sites without sample."""
+    return SC.score_sites(r.scores(), r.channel_class(), keep_unmatched=True).drop("longitude", "latitude", "COMID")
 
 
 @query("UF3_function_of_two_columns", _ROOTS.format(names=["high"], values=[_LEVELS["high"]]))
