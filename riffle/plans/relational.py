@@ -504,10 +504,10 @@ def sc7(r):
 
 
 @query("SC8_arrays", """SELECT vec_id AS parent, size, 'V' || label AS request, cast(v AS double) AS v FROM (
-    SELECT vec_id, label, len(embedding) AS size, unnest(list_filter(embedding, x -> x > 0.1)) AS v FROM embeddings)""")
+    SELECT vec_id, label, len(embedding) AS size, unnest([x FOR x IN embedding IF x > 0.125::float]) AS v FROM embeddings)""")
 def sc8(r):
     """Build a request per parent, drop empty and small elements, flatten with the parent key."""
-    kept = F.filter("embedding", lambda v: v > F.lit(0.1).cast("float"))
+    kept = F.filter("embedding", lambda v: v > F.lit(0.125).cast("float"))
     return r.table("embeddings").filter(F.size("embedding") > 0).select(
         F.col("vec_id").alias("parent"), F.size("embedding").cast("bigint").alias("size"),
         F.concat(F.lit("V"), F.col("label").cast("string")).alias("request"), F.explode(kept).alias("v")
