@@ -7,3 +7,10 @@
 ``riffle.geo``        projections, point in polygon, gage crosswalk, upstream walk
 ``riffle.plans``      the analyses end to end, and the query registry
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors as code: nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
