@@ -58,4 +58,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._riffle_path = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table of :func:`materialize` that no later step reads; nothing for any other frame."""
+    path = getattr(table, "_riffle_path", None)
+    if path:
+        spark = table.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
