@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riffle.llm.common import Anchors, Texts, signed, steps
-from riffle.session import materialize
+from riffle.session import materialize, release
 
 #: Cells of a sketch row for each anchor, and the rows of the sketch.
 CELLS_PER_ANCHOR, SKETCH_ROWS = 8, 2
@@ -39,14 +39,18 @@ def estimated_repeated(table: DataFrame) -> DataFrame:
     Each task sums its own anchors by cell (a sketch of its partition), the shuffle merges these sketches, and the
     estimate of an anchor is the least of its cells. The second row of the sketch only counts what the first has
     left, which can only lower an estimate, never below the true count. The width follows the number of anchors,
-    so a sketch of any input is as sparse, and each of its cells lives in the partition it hashes to.
+    so a sketch of any input is as sparse, and each of its cells lives in the partition it hashes to. Its repeated
+    cells are written, so that the join can split the rows of a cell that is very frequent.
     """
     left = materialize(table, "anchors")
     width = 1 << max(16, (CELLS_PER_ANCHOR * left.count()).bit_length())
     for row in range(SKETCH_ROWS):
         celled = left.withColumn("cell", F.xxhash64("anchor", F.lit(row)).bitwiseAND(F.lit(width - 1)))
-        sketch = celled.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-        left = materialize(celled.join(sketch, "cell", "left_semi").drop("cell"), "estimated")
+        sketch = materialize(celled.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "sketch")
+        fewer = materialize(celled.join(sketch, "cell", "left_semi").drop("cell"), "estimated")
+        release(left)
+        release(sketch)
+        left = fewer
     return left
 
 
