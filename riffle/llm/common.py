@@ -100,13 +100,13 @@ class Words:
     starts: np.ndarray
 
 
-def words(texts: Texts, table: np.ndarray = BYTES) -> Words:
-    """Words are runs without space and tab to carriage return. ``table``: 64-bit values of the bytes."""
+def words(texts: Texts, table: np.ndarray = BYTES, space: np.ndarray = SPACE) -> Words:
+    """Words are runs without bytes of ``space`` (space, and tab to carriage return). ``table``: 64-bit values of the bytes."""
     data, n = texts.data, len(texts.data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, np.zeros(0, U), np.zeros(texts.rows + 1, np.int64))
-    inside = ~SPACE[data]
+    inside = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[texts.starts] = True
     before = np.concatenate([[False], inside[:-1]])

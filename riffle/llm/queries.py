@@ -8,7 +8,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.llm import earlier_copies, heap_merges, near_duplicates, rank_array, repeated_windows
+from riffle.llm import contamination, earlier_copies, heap_merges, near_duplicates, rank_array, repeated_windows
 
 WORDS = "word_bpe_49k.json"
 
@@ -76,3 +76,10 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_counts")
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heap_merges.count_tokens(documents(spark, sf_dir), path(WORDS), limit=2048)
+
+
+@query("op9_benchmark_decontamination")
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.find_leaks(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.col("leaks.item_id").alias("item_ids"),
+                        F.coalesce(F.try_element_at("leaks", F.lit(1)).coverage, F.lit(0.0)).alias("coverage"))
