@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from public_tokenizers import path
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.llm import contamination, earlier_copies, heap_merges, near_duplicates, rank_array, repeated_windows
+from riffle.llm import contamination, earlier_copies, heap_merges, language_filters, near_duplicates, quality_model, rank_array, repeated_windows
 
 WORDS = "word_bpe_49k.json"
 
@@ -83,3 +83,24 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     found = contamination.find_leaks(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.col("leaks.item_id").alias("item_ids"),
                         F.coalesce(F.try_element_at("leaks", F.lit(1)).coverage, F.lit(0.0)).alias("coverage"))
+
+
+def fold(parts: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(4) != 2)
+    scored = quality_model.score(docs, quality_model.fit(docs, labels))
+    return scored.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"),
+                         (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    filters = language_filters.fit(docs.where(fold(3) != 1).select("text", "lang"))
+    found = language_filters.predict(docs.select("doc_id", "text"), filters)
+    return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
