@@ -118,8 +118,9 @@ def label_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) ->
 
     starred = tables_led.where("lead < key").groupBy("key").agg(F.min("lead").alias("lead"))
     texts = rows.select("key", "text")
-    led = starred.join(texts, "key").select(F.col("key").alias("a"), F.col("lead").alias("b"), "text")
-    led = led.join(texts.select(F.col("key").alias("b"), F.col("text").alias("other")), "b")
+    # Always a merge join: the pairs grow with the input.
+    led = starred.hint("merge").join(texts, "key").select(F.col("key").alias("a"), F.col("lead").alias("b"), "text")
+    led = led.hint("merge").join(texts.select(F.col("key").alias("b"), F.col("text").alias("other")), "b")
     links = materialize(led.select("a", "b", "text", "other").mapInArrow(compared, "a long, b long"), "links")
     label = components(links)
 
@@ -138,7 +139,7 @@ def label_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) ->
     # Block b of a union meets block c in the task (least, greatest); one block alone is task (0, 0).
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("key", "least", F.xxhash64("union", F.least("block", "with"), F.greatest("block", "with")).alias("task"))
-    placed = placed.join(texts, "key").repartition("task").sortWithinPartitions("task", "key")
+    placed = placed.hint("merge").join(texts, "key").repartition("task").sortWithinPartitions("task", "key")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
@@ -186,6 +187,7 @@ def label_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) ->
     more = placed.select("task", "key", "least", "text").mapInArrow(rest, "a long, b long")
     label = components(materialize(links.union(more), "all_links"))
     first = groups.join(label, F.col("first") == F.col("key"), "left").select("same", F.coalesce("least", "first").alias("least"))
+    first = materialize(first, "first")  # so that the join can split a set that very many rows have
     out = signed_rows.drop("halves").join(first, "same", "left").withColumn("least", F.coalesce("least", "key"))
     ids = rows.select("key", "doc_id")
     out = out.join(ids, "key").join(ids.select(F.col("key").alias("least"), F.col("doc_id").alias("component_id")), "least")
