@@ -8,7 +8,7 @@ from public_tokenizers import path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.llm import contamination, earlier_copies, heap_merges, language_filters, near_duplicates, quality_model, rank_array, repeated_windows
+from riffle.llm import contamination, earlier_copies, heap_merges, language_filters, near_duplicates, quality_model, quality_rules, rank_array, repeated_windows
 
 WORDS = "word_bpe_49k.json"
 
@@ -104,3 +104,25 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = language_filters.fit(docs.where(fold(3) != 1).select("text", "lang"))
     found = language_filters.predict(docs.select("doc_id", "text"), filters)
     return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_quality_rules", """
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    d AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+                 list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+    s AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+    g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM s),
+    r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM g WHERE n > 1) GROUP BY doc_id),
+    c AS (SELECT d.doc_id, text, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+                 (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                 len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+          FROM d LEFT JOIN r USING (doc_id)),
+    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(word_chars, 1) AS chars FROM c)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        NOT (base_failed OR n_symbols > 0.2 * n_words OR n_dup_lines > 0.5 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+             OR length(regexp_replace(text, '[^A-Z]', '', 'g')) / chars > 0.4 OR length(regexp_replace(text, '[^!]', '', 'g')) / chars > 0.1
+             OR length(regexp_replace(text, '[^0-9]', '', 'g')) / chars > 0.4) AS kept
+    FROM b""")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
