@@ -8,7 +8,7 @@ from public_tokenizers import path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.llm import contamination, earlier_copies, heap_merges, language_filters, near_duplicates, quality_model, quality_rules, rank_array, repeated_windows
+from riffle.llm import contamination, earlier_copies, heap_merges, language_filters, near_duplicates, personal_data, quality_model, quality_rules, rank_array, repeated_windows
 
 WORDS = "word_bpe_49k.json"
 
@@ -126,3 +126,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op10_personal_data")
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = personal_data.find(docs, personal_data.fit(docs))
+    kinds = list(personal_data.PATTERNS)
+    base = F.concat(*map(personal_data.written, kinds))
+    return found.select(
+        "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in kinds), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, personal_data.written("secret")), ",").alias("spans"), F.size("secret").cast("long").alias("n_secret"))
