@@ -10,7 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riffle.session import materialize
@@ -20,7 +21,7 @@ STEP_BYTES = 1 << 20
 U = np.uint64
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+def keyed(docs: DataFrame, *columns: Column) -> DataFrame:
     """``docs`` as (``key`` long, ``doc_id``, ``text``, columns): one key for each row, in the order of ``doc_id``.
 
     The key is ``doc_id`` itself where that is unique and never null. Otherwise the rows are numbered in the
@@ -232,7 +233,5 @@ def list_column(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def list_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and starts (one more entry for the end) of a list column; null is empty."""
-    if column.null_count:
-        column = pa.array([x or [] for x in column.to_pylist()], column.type)
-    starts = column.offsets.to_numpy()
-    return column.flatten().to_numpy(zero_copy_only=False), (starts - starts[0]).astype(np.int64)
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riffle.llm.common import BYTES, anchors, covered, doubled, grams, keyed, list_slices, pair, places, ranges, signed, spread, steps
-from riffle.llm.repeats import anchor_table, chosen, estimated_repeated, listed
+from riffle.llm.repeats import NOTHING, anchor_table, apart, chosen, estimated_repeated, listed
 from riffle.llm.run_index import RunIndex
 from riffle.session import materialize
 
@@ -87,21 +88,41 @@ def remove_earlier(docs: DataFrame, window: int = 100) -> DataFrame:
             keys, at = (table.column(c).to_numpy()[own] for c in ("key", "begin"))
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(at + begin - opens[own]), pa.array(end - begin)], kind)
 
-        held, size, last = [], 0, None
+        held, size, rest = [], 0, None
         for batch in batches:
-            anchor = batch.column("anchor").to_numpy()
-            border = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, [len(anchor)]])
-            for i, j in zip(border[:-1], border[1:]):
-                if i == j:
-                    continue
-                if size >= INDEX_BYTES and anchor[i] != last:
-                    yield first_of(pa.Table.from_batches(held))
-                    held, size = [], 0
-                part = batch.slice(i, j - i)
-                held.append(part)
-                size, last = size + part.column("segment").nbytes, anchor[i]
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            anchor = table.column("anchor").to_numpy()
+            border = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1]) if len(anchor) else np.zeros(1, np.int64)
+            rest, table = table.slice(border[-1]), table.slice(0, border[-1])  # the last anchor may go on
+            for part, alone in split(table, border):
+                if alone:
+                    yield part
+                else:
+                    held.append(part)
+                    size += part.column("segment").nbytes
+            if size >= INDEX_BYTES:
+                yield first_of(pa.concat_tables(held))
+                held, size = [], 0
+        if rest is not None and len(rest):
+            for part, alone in split(rest, np.array([0, len(rest)])):
+                if alone:
+                    yield part
+                else:
+                    held.append(part)
         if held:
-            yield first_of(pa.Table.from_batches(held))
+            yield first_of(pa.concat_tables(held))
+
+    def split(table: pa.Table, border: np.ndarray) -> Iterator[tuple]:
+        """Finished windows of anchors with one segment, which cannot repeat in it; and the segments of the others."""
+        if not len(table):
+            return
+        count = np.repeat(np.diff(border), np.diff(border))
+        one = table.filter(pa.array(count == 1))
+        if len(one):
+            sizes = pc.binary_length(one.column("segment")).to_numpy().astype(np.int64) - window + 1
+            yield pa.RecordBatch.from_arrays([one.column("key").combine_chunks(), one.column("begin").combine_chunks(), pa.array(sizes)], ["key", "begin", "size"]), True
+        if len(one) < len(table):
+            yield table.filter(pa.array(count > 1)), False
 
     indexed = cut.join(many, "anchor", "left_anti") if large else cut
     indexed = indexed.repartition("anchor").sortWithinPartitions("anchor", "key", "begin")
@@ -121,18 +142,18 @@ def remove_earlier(docs: DataFrame, window: int = 100) -> DataFrame:
                     ["one", "two", "key", "begin"])
 
     if large:
-        apart = cut.join(many, "anchor", "left_semi").mapInArrow(single_windows, "one long, two long, key long, begin long")
-        apart = apart.select("one", "two", order("key", "begin")).groupBy("one", "two").agg(F.min("order").alias("order"))
-        first = first.union(apart.select(*place("order"), F.lit(1).cast("long").alias("size")))
+        lone = cut.join(many, "anchor", "left_semi").mapInArrow(single_windows, "one long, two long, key long, begin long")
+        lone = lone.select("one", "two", order("key", "begin")).groupBy("one", "two").agg(F.min("order").alias("order"))
+        first = first.union(lone.select(*place("order"), F.lit(1).cast("long").alias("size")))
     first = listed(first.select("key", F.shiftleft("begin", 32).bitwiseOR(F.col("size")).alias("first")), "first")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in apart(batches):
             hot, at = list_slices(batch.column("anchor"))
             kept, kept_at = list_slices(batch.column("first"))
             sizes, out = [], []
             for texts in steps(batch.column("text")):
-                got = chosen(found(texts), np.unique(hot[at[texts.first]:at[texts.first + texts.rows]]))
+                got = chosen(found(texts), np.unique(hot[at[texts.first]:at[texts.first + texts.rows]])) if len(hot) else NOTHING
                 by_row = np.searchsorted(got.row, np.arange(texts.rows + 1))
                 for i in range(texts.rows):
                     row, base, text = texts.first + i, texts.starts[i], texts.data[texts.starts[i]:texts.starts[i + 1]]

@@ -70,6 +70,22 @@ def label_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) ->
     pairs, leave a task. No bucket is capped.
     """
     rows = keyed(docs)
+    out, ids = labelled(rows, size, percent), rows.select("key", "doc_id")
+    out = out.join(ids, "key").join(ids.select(F.col("key").alias("least"), F.col("doc_id").alias("component_id")), "least")
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("key") == F.col("least")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that :func:`label_near_duplicates` keeps, with the columns of ``docs``. A null text comes back empty."""
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = keyed(docs, F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in more)).alias("more"))
+    first = labelled(rows, size, percent).where("key = least").select("key")
+    kept = rows.join(first, "key", "left_semi")
+    return kept.select(*(F.col("more")[c].alias(c) if c in more else F.col(c) for c in docs.columns))
+
+
+def labelled(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(``key``, ``n_shingles``, ``least``): the smallest key of the component of each row of ``rows`` (``key``, ``text``)."""
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,10 +141,10 @@ def label_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) ->
     label = components(links)
 
     # Keys that hold vertices of several components, and what they connect.
-    labelled = tables_led.join(label, "key", "left").withColumn("least", F.coalesce("least", "key"))
-    open_tables = labelled.groupBy("table").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high")
+    named = tables_led.join(label, "key", "left").withColumn("least", F.coalesce("least", "key"))
+    open_tables = named.groupBy("table").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high")
     open_tables = materialize(open_tables.select("table"), "open")
-    open_rows = labelled.join(open_tables, "table", "left_semi").select("key", "lead", "least").distinct()
+    open_rows = named.join(open_tables, "table", "left_semi").select("key", "lead", "least").distinct()
     open_rows = materialize(open_rows, "rest")
     release(tables_led)
     union = components(open_rows.select(F.col("key").alias("a"), F.col("lead").alias("b")))
@@ -188,7 +204,4 @@ def label_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) ->
     label = components(materialize(links.union(more), "all_links"))
     first = groups.join(label, F.col("first") == F.col("key"), "left").select("same", F.coalesce("least", "first").alias("least"))
     first = materialize(first, "first")  # so that the join can split a set that very many rows have
-    out = signed_rows.drop("halves").join(first, "same", "left").withColumn("least", F.coalesce("least", "key"))
-    ids = rows.select("key", "doc_id")
-    out = out.join(ids, "key").join(ids.select(F.col("key").alias("least"), F.col("doc_id").alias("component_id")), "least")
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("key") == F.col("least")).alias("kept"))
+    return signed_rows.select("key", "n_shingles", "same").join(first, "same", "left").withColumn("least", F.coalesce("least", "key"))

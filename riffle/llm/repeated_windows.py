@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riffle.llm.common import anchors, covered, doubled, grams, keyed, list_slices, pair, places, signed, steps, words
-from riffle.llm.repeats import anchor_table, chosen, estimated_repeated, listed
+from riffle.llm.repeats import NOTHING, anchor_table, apart, chosen, estimated_repeated, listed
 
 #: Words of an anchor.
 GRAM = 8
@@ -58,13 +58,14 @@ def remove_repeated(docs: DataFrame, window: int = 35) -> DataFrame:
     alone = listed(alone.where("n = 1"), "begin")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in apart(batches):
             hot, at = list_slices(batch.column("anchor"))
             single, single_at = list_slices(batch.column("begin"))
             n_words, n_removed, out = [], [], []
             for texts in steps(batch.column("text")):
                 found = words(texts)
-                got = chosen(anchors(doubled(found.hash, window), found.starts, window, gram), np.unique(hot[at[texts.first]:at[texts.first + texts.rows]]))
+                some = np.unique(hot[at[texts.first]:at[texts.first + texts.rows]])
+                got = chosen(anchors(doubled(found.hash, window), found.starts, window, gram), some) if len(hot) else NOTHING
                 order = np.searchsorted(got.row, np.arange(texts.rows + 1))
                 for i in range(texts.rows):
                     row, base = texts.first + i, found.starts[i]

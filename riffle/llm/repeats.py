@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,3 +64,14 @@ def chosen(found: Anchors, hot: np.ndarray) -> Anchors:
     """The anchors whose hash is among ``hot``."""
     keep = np.isin(signed(found.hash), hot)
     return Anchors(found.hash[keep], found.begin[keep], found.end[keep], found.row[keep])
+
+
+def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of joined batches with anchors that may repeat, then those without: these need no hashing."""
+    for batch in batches:
+        some = batch.column("anchor").is_valid()
+        yield batch.filter(some)
+        yield batch.filter(pc.invert(some))
+
+
+NOTHING = Anchors(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))

@@ -30,7 +30,7 @@ def packed(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def sorted_suffixes(keys: np.ndarray, segment: np.ndarray, ends: np.ndarray, n_segments: int) -> np.ndarray:
     """Places in the order of their suffixes (to the end of the segment; equal ones by segment). Prefix doubling."""
     n = len(keys)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     at = keys[order]
     new = np.concatenate([[True], at[1:] != at[:-1]])
     rank, slot, h = np.empty(n, np.int64), np.arange(n), PACK
@@ -45,7 +45,7 @@ def sorted_suffixes(keys: np.ndarray, segment: np.ndarray, ends: np.ndarray, n_s
         past = places + h >= ends[places]
         then = np.where(past, segment[places], rank[np.minimum(places + h, n - 1)] + n_segments)
         key = first * (n + n_segments + 1) + then
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[slot], key = places[by], key[by]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         first = np.maximum.accumulate(np.where(new, slot, 0))
