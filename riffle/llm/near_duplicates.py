@@ -78,7 +78,7 @@ def label_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) ->
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that :func:`label_near_duplicates` keeps, with the columns of ``docs``. A null text comes back empty."""
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = keyed(docs, F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in more)).alias("more"))
+    rows = keyed(docs, (F.struct(*(F.col(f"`{c}`") for c in more)) if more else F.lit(0)).alias("more"))
     first = labelled(rows, size, percent).where("key = least").select("key")
     kept = rows.join(first, "key", "left_semi")
     return kept.select(*(F.col("more")[c].alias(c) if c in more else F.col(c) for c in docs.columns))

@@ -125,7 +125,7 @@ def train_network(x: np.ndarray, y: np.ndarray, seed: int) -> list[np.ndarray]:
     """Two layers, log loss, Adam on all rows at once."""
     draw = np.random.default_rng(seed)
     base = min(max(y.mean(), 0.01), 0.99) if len(y) else 0.5
-    layers = [draw.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), draw.normal(0, HIDDEN ** -0.5, HIDDEN), np.array(np.log(base / (1 - base)))]
+    layers = [draw.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), draw.normal(0, HIDDEN ** -0.5, HIDDEN) * (len(y) > 0), np.array(np.log(base / (1 - base)))]
     moment, square = [np.zeros_like(w) for w in layers], [np.zeros_like(w) for w in layers]
     for step in range(1, STEPS + 1 if len(y) else 1):
         w1, b1, w2, b2 = layers
@@ -155,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed
     for _ in range(2):
         picked = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(part * (1 << 31)))
         # At most about sample_rows rows of two numbers.
-        chosen = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
+        texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        chosen = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")
         size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         if size <= SAMPLE_BYTES:
             break

@@ -14,6 +14,12 @@ SAMPLE_ROWS = 2_000
 SPACE, SYMBOL = r"[\x20\x09-\x0D]+", "[#*$%&|<>]+"
 
 
+def unused(name: str, columns: list[str]) -> str:
+    while name in columns:
+        name += "_"
+    return name
+
+
 def let(value: Column, then) -> Column:
     """``then(value)`` with ``value`` worked out once."""
     return F.element_at(F.transform(F.array(value), then), 1)
@@ -34,10 +40,11 @@ def with_counts(docs: DataFrame) -> DataFrame:
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     words = F.filter(F.split(text, SPACE), lambda x: x != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.select(*kept, words.alias("_words"), lines.alias("_lines"))
-    hashes = F.when(F.size("_words") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(
-        F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))))
-    rows = rows.select(*kept, F.size("_words").cast("long").alias("n_words"), "_lines", hashes.alias("_hashes"))
+    w, l, h = (unused(x, docs.columns) for x in ("_words", "_lines", "_hashes"))
+    rows = docs.select(*kept, words.alias(w), lines.alias(l))
+    hashes = F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(F.transform(
+        F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+    rows = rows.select(*kept, F.size(w).cast("long").alias("n_words"), l, hashes.alias(h))
 
     def twice(ordered: Column) -> Column:
         """Places of the windows with an equal neighbour in the order of the hashes."""
@@ -47,13 +54,13 @@ def with_counts(docs: DataFrame) -> DataFrame:
     def covered(at: Column) -> Column:
         return F.aggregate(F.transform(at, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - i, F.lit(3)))), F.lit(0), lambda a, b: a + b)
 
-    ordered = F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    repeat = F.when(F.size(F.array_distinct("_hashes")) == F.size("_hashes"), F.lit(0)).otherwise(let(let(ordered, twice), covered))
+    ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    repeat = F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(let(ordered, twice), covered))
     bare = F.length(F.regexp_replace(text, SPACE, ""))
     return rows.select(
         *kept, "n_words", bare.cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, SYMBOL, ""))).cast("long").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.size(l).cast("long").alias("n_lines"), (F.size(l) - F.size(F.array_distinct(l))).cast("long").alias("n_dup_lines"),
         repeat.cast("long").alias("n_repeat_words"))
 
 
