@@ -13,31 +13,33 @@ from riffle.models import small
 from riffle.operators.joins import join
 from riffle.session import BROADCAST_ROWS, materialize
 
-STEPS = 25
-# On x with unit spread, a slope or intercept beyond this means separated classes.
-SEPARATED = 25.0
+STEPS = 80
 
 
 def fit_logistic(frame: DataFrame, keys: Sequence[str], steps: int = STEPS, tolerance: float = 1e-9) -> DataFrame:
     """Newton's method on x scaled to zero mean and unit spread.
 
     ``frame`` has the key columns, ``x`` and ``y`` in {0, 1}. Each step is one aggregate of six
-    sums per configuration; the 2 x 2 system is solved in columns. A configuration that cannot
-    be fitted gets a status and NULL coefficients instead of an error. ``n`` is the true number
-    of observations.
+    sums per configuration; the 2 x 2 system is solved in columns. A step that raises the deviance
+    is halved. A configuration that cannot be fitted gets a status and NULL coefficients instead
+    of an error; ``separated`` is decided exactly, from the ranges of x in the two classes. ``n``
+    is the true number of observations.
     """
     y = F.col("y").cast("double")
     base = frame.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("x").alias("x_mean"), F.stddev_pop("x").alias("x_sd"), F.sum(y).alias("ones"))
+        F.count("*").alias("n"), F.avg("x").alias("x_mean"), F.stddev_pop("x").alias("x_sd"), F.sum(y).alias("ones"),
+        F.min(F.when(y == 1, F.col("x"))).alias("one_low"), F.max(F.when(y == 1, F.col("x"))).alias("one_high"),
+        F.min(F.when(y == 0, F.col("x"))).alias("zero_low"), F.max(F.when(y == 0, F.col("x"))).alias("zero_high"))
+    apart = (F.col("zero_high") <= F.col("one_low")) | (F.col("one_high") <= F.col("zero_low"))
     status = (
         F.when(F.col("n") < 3, "too_few_rows").when((F.col("ones") == 0) | (F.col("ones") == F.col("n")), "one_class")
-        .when(~(F.col("x_sd") > 0), "constant_x").otherwise("ok")
+        .when(~(F.col("x_sd") > 0), "constant_x").when(apart, "separated").otherwise("ok")
     )
-    base = materialize(base.withColumn("status", status), "logistic")
+    base = materialize(base.withColumn("status", status).drop("one_low", "one_high", "zero_low", "zero_high"), "logistic")
     count = base.count()
     nothing = F.lit(None).cast("double")
     active = base.filter(F.col("status") == "ok").withColumns({
-        "a": F.lit(0.0), "b": F.lit(0.0), "deviance": nothing, "b_se": nothing, "moved": F.lit(float("inf"))})
+        "a": F.lit(0.0), "b": F.lit(0.0), "from_a": F.lit(0.0), "from_b": F.lit(0.0), "deviance": nothing, "b_se": nothing, "moved": F.lit(float("inf"))})
     parts = [base.filter(F.col("status") != "ok")]
     for _ in range(steps + 1):
         current = active.select(*keys, "x_mean", "x_sd", "a", "b")
@@ -54,17 +56,19 @@ def fit_logistic(frame: DataFrame, keys: Sequence[str], steps: int = STEPS, tole
         det = F.nullif(F.col("w_") * F.col("wzz_") - F.col("wz_") * F.col("wz_"), F.lit(0.0))
         step_a = (F.col("wzz_") * F.col("g_") - F.col("wz_") * F.col("gz_")) / det
         step_b = (F.col("w_") * F.col("gz_") - F.col("wz_") * F.col("g_")) / det
-        # Deviance and standard error belong to the coefficients before the step.
-        moved = join(active, sums, keys).withColumns({
-            "deviance": F.col("loss"), "b_se": F.sqrt(F.col("w_") / det), "da": step_a, "db": step_b,
-        }).withColumns({
-            "moved": F.coalesce(F.abs("da") + F.abs("db"), F.lit(float("inf"))),
-            "a": F.col("a") + F.coalesce("da", F.lit(0.0)), "b": F.col("b") + F.coalesce("db", F.lit(0.0)),
-        })
-        wild = F.isnan("a") | F.isnan("b") | (F.abs("a") > SEPARATED) | (F.abs("b") > SEPARATED) | F.col("da").isNull()
-        solved = materialize(
-            moved.withColumn("status", F.when(wild, "separated").otherwise("ok")).select(*active.columns), "logistic")
-        over = (F.col("moved") < tolerance) | (F.col("status") != "ok")
+        # Deviance and standard error belong to the coefficients before the step. Where the last step has raised the
+        # deviance, the next point is half-way back to the one it came from, which stays the best so far.
+        worse = F.coalesce(F.col("loss") > F.col("deviance") + 1e-9 * (1 + F.abs("deviance")), F.lit(False)) | F.isnan("loss") | F.isnan("da")
+        moved = join(active, sums, keys).withColumns({"da": step_a, "db": step_b}).withColumn("worse", worse).select(
+            *[c for c in active.columns if c not in ("a", "b", "from_a", "from_b", "deviance", "b_se", "moved", "status")],
+            *[F.when(F.col("worse"), (F.col(c) + F.col(f"from_{c}")) / 2).otherwise(F.col(c) + F.coalesce(f"d{c}", F.lit(0.0))).alias(c) for c in "ab"],
+            *[F.when(F.col("worse"), F.col(f"from_{c}")).otherwise(F.col(c)).alias(f"from_{c}") for c in "ab"],
+            F.when(F.col("worse"), F.col("deviance")).otherwise(F.col("loss")).alias("deviance"),
+            F.when(F.col("worse"), F.col("b_se")).otherwise(F.sqrt(F.col("w_") / det)).alias("b_se"),
+            F.when(F.col("worse"), F.abs(F.col("a") - F.col("from_a")) + F.abs(F.col("b") - F.col("from_b"))).otherwise(
+                F.coalesce(F.abs("da") + F.abs("db"), F.lit(float("inf")))).alias("moved"), "status")
+        solved = materialize(moved.select(*active.columns), "logistic")
+        over = F.col("moved") < tolerance
         parts.append(solved.filter(over))
         active = solved.filter(~over)
         if active.isEmpty():
@@ -80,7 +84,7 @@ def fit_logistic(frame: DataFrame, keys: Sequence[str], steps: int = STEPS, tole
         "intercept": F.when(good, F.col("a") - F.col("b") * F.col("x_mean") / F.col("x_sd")),
         "slope_se": F.when(good, F.col("b_se") / F.col("x_sd")),
         "deviance": F.when(good, F.col("deviance")),
-    }).drop("a", "b", "b_se", "moved"), "logistic")
+    }).drop("a", "b", "from_a", "from_b", "b_se", "moved"), "logistic")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -24,8 +24,6 @@ from riffle.session import BROADCAST_ROWS, materialize
 
 MOMENTS = 7
 CROSS = 4
-# Intervals of the largest basis in use.
-MOST = 21
 GAMMA_STEPS = 20
 # From this step on the smoothness of a Gamma fit is held, so that the fit itself converges.
 HOLD_STEP = 5
@@ -69,16 +67,20 @@ def place_knots(frame: DataFrame, keys: Sequence[str], grid: Sequence[tuple[int,
     return materialize(opened, "knots")
 
 
-def _with_models(frame: DataFrame, models: DataFrame, keys: Sequence[str], rows: int, most: int = MOST) -> DataFrame:
+def _with_models(frame: DataFrame, models: DataFrame, keys: Sequence[str], rows: int, most: int | None = None) -> DataFrame:
     """Every observation with every model of its configuration, its interval and place in it.
 
     The model table is broadcast when its row count, known here, is small; otherwise the
     configurations are shuffled, and a hot one is split by the adaptive skew handling.
-    ``most`` bounds the number of intervals of any model.
+    ``most`` bounds the number of intervals of any model, which lets the search be compiled; without it the borders
+    of each model are searched, however many there are.
     """
     other = F.broadcast(models) if rows <= BROADCAST_ROWS else models
-    passed = " + ".join(
-        [f"cast(coalesce(x >= get(breaks, {j}) AND size(breaks) - 2 >= {j}, false) AS int)" for j in range(1, most)] or ["0"])
+    if most is None:
+        passed = "greatest(0, least(size(breaks) - 2, size(filter(breaks, b -> x >= b)) - 1))"
+    else:
+        passed = " + ".join(
+            [f"cast(coalesce(x >= get(breaks, {j}) AND size(breaks) - 2 >= {j}, false) AS int)" for j in range(1, most)] or ["0"])
     located = join(frame, other, keys).withColumn("interval", F.expr(passed))
     place = "(x - get(breaks, interval)) / nullif(get(breaks, interval + 1) - get(breaks, interval), 0d)"
     return located.withColumn("u", F.expr(place))
@@ -159,7 +161,8 @@ def _iterate(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], step
         if active.isEmpty():
             break
     else:
-        parts.append(active.withColumn("status", F.lit("no_convergence")))
+        # A curve that has not settled is no result.
+        parts.append(active.withColumns({"status": F.lit("no_convergence"), "pieces": F.lit(None).cast(_ARRAY)}))
     return stack_rows(*parts)
 
 
@@ -175,7 +178,7 @@ def fit_gaussian(frame: DataFrame, keys: Sequence[str], smooths: Sequence[int])
     return fit_gaussian_on(place_knots(frame, keys, [(k, None) for k in smooths]), frame, keys, most)
 
 
-def fit_gaussian_on(knots: DataFrame, frame: DataFrame, keys: Sequence[str], most: int = MOST) -> DataFrame:
+def fit_gaussian_on(knots: DataFrame, frame: DataFrame, keys: Sequence[str], most: int | None = None) -> DataFrame:
     model_keys = [*keys, "smooth"]
     rows = _with_models(frame, knots.select(*model_keys, "breaks"), keys, knots.count(), most)
     stats = _aggregate(rows, model_keys, "1d", "y", {"zz": "y * y"})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riffle.functions.semantics import if_else, paste, share
-from riffle.operators.joins import full_lookup, join
+from riffle.operators.joins import full_lookup
 from riffle.operators.reshape import long_to_wide, wide_to_long
 
 CLASS_KEYS = ["Hydro_Metric", "Biol", "Bio_threshold", "channel_engineering_class"]
@@ -24,12 +24,13 @@ def published_limits(raw: DataFrame, standard: Sequence[float] = STANDARD) -> Da
     return long_to_wide(long, keys, "Type", "DeltaH", ["Positive", "Negative"])
 
 
-def label_alteration(delta: DataFrame, limits: DataFrame, limit_rows: int) -> DataFrame:
+def label_alteration(delta: DataFrame, limits: DataFrame, limit_rows: int, known: DataFrame | None = None) -> DataFrame:
     """Join deltas to the limits of their metric and test the closed interval.
 
-    A missing delta or limit leaves the label missing.
+    A missing delta or limit leaves the label missing. ``known`` may hold the ``Hydro_Metric`` values of ``delta``,
+    which are then not looked for in ``delta`` a second time.
     """
-    joined = full_lookup(delta, limits, ["Hydro_Metric"], limit_rows).na.drop(subset=["Bio_threshold"])
+    joined = full_lookup(delta, limits, ["Hydro_Metric"], limit_rows, known).na.drop(subset=["Bio_threshold"])
     x = F.col("deltah_final")
     inside = (x <= F.col("Positive")) & (x >= F.col("Negative"))
     return joined.withColumn("Alteration_Current", if_else(inside, F.lit("Unaltered"), F.lit("Altered")))
@@ -58,7 +59,13 @@ def direction_share(labelled: DataFrame) -> DataFrame:
 def alteration_direction(labelled: DataFrame) -> DataFrame:
     """Both percentages, and the direction that holds more than half of the altered records.
 
-    Without any high record the direction is missing.
+    Without any high record the direction is missing. One aggregate counts all labels.
     """
-    both = join(alteration_share(labelled), direction_share(labelled), CLASS_KEYS, "full")
-    return both.withColumn("Direction", if_else(F.col("High") > 50, F.lit("High"), F.lit("Low")))
+    altered = F.col("Alteration_Current") == "Altered"
+    above = F.col("deltah_final") > F.col("Positive")
+    counts = _middle(labelled).groupBy(*CLASS_KEYS).agg(
+        F.count("*").alias("n"), F.count_if(altered).alias("Altered"), F.count_if(F.col("Alteration_Current") == "Unaltered").alias("Unaltered"),
+        F.count_if(altered & above).alias("High"), F.count_if(altered & ~above).alias("Low"))
+    percent = lambda name, total: F.when(F.col(name) > 0, 100.0 * F.col(name) / F.col(total)).alias(name)
+    shares = counts.select(*CLASS_KEYS, percent("Altered", "n"), percent("Unaltered", "n"), percent("High", "Altered"), percent("Low", "Altered"))
+    return shares.withColumn("Direction", if_else(F.col("High") > 50, F.lit("High"), F.lit("Low")))

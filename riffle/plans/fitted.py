@@ -24,11 +24,13 @@ def scored(r):
     return r.all_data().filter(F.col("Metric").isin(C.INDICES))
 
 
-def frame(r, positive: bool = False):
-    """Scores and deltas per index and metric, without augmented peaks."""
+def frame(r):
+    """Scores and deltas per index and metric, without augmented peaks.
+
+    An observation is distinct with its channel class: equal values of two classes are two observations.
+    """
     rows = drop_augmented_peaks(flag_augmented_peaks(scored(r)))
-    out = model_frame(rows, KEYS, "deltah_final", "MetricValue")
-    return materialize(out.filter(F.col("y") > 0) if positive else out, "frame")
+    return materialize(model_frame(rows, [*KEYS, "channel_engineering_class"], "deltah_final", "MetricValue").drop("channel_engineering_class"), "frame")
 
 
 def glm_frame(r, keys=GLM_KEYS):
@@ -55,11 +57,17 @@ def _glm_frame(cls: str, level: str) -> str:
     FROM (SELECT DISTINCT Metric, flow_metric, CASE WHEN deltah_final > 0 THEN 'Pos' ELSE 'Neg' END AS direction, {cls}, deltah_final AS x, MetricValue AS score,
       {level} AS t
       FROM v_all WHERE Metric IN ('csci', 'asci') AND deltah_final <> 0 AND MetricValue IS NOT NULL AND {cls} IS NOT NULL)),
-  base AS MATERIALIZED (SELECT Metric, flow_metric, direction, {cls}, count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx, sum(y) AS ones FROM f0 GROUP BY ALL),
-  f AS MATERIALIZED (SELECT f0.*, (x - mx) / sx AS z FROM f0 JOIN base USING (Metric, flow_metric, direction, {cls}) WHERE n >= 3 AND ones > 0 AND ones < n AND sx > 0),
+  base AS MATERIALIZED (SELECT Metric, flow_metric, direction, {cls}, count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx, sum(y) AS ones,
+    min(x) FILTER (y = 1) AS one_low, max(x) FILTER (y = 1) AS one_high, min(x) FILTER (y = 0) AS zero_low, max(x) FILTER (y = 0) AS zero_high FROM f0 GROUP BY ALL),
+  f AS MATERIALIZED (SELECT f0.*, (x - mx) / sx AS z FROM f0 JOIN base USING (Metric, flow_metric, direction, {cls}) WHERE n >= 3 AND ones > 0 AND ones < n AND sx > 0
+    AND zero_high > one_low AND one_high > zero_low),
   c0 AS (SELECT Metric, flow_metric, direction, {cls}, 0.0::double AS a, 0.0::double AS b FROM f GROUP BY ALL)"""
 
 
+_STATUS = """CASE WHEN n < 3 THEN 'too_few_rows' WHEN ones = 0 OR ones = n THEN 'one_class' WHEN NOT sx > 0 THEN 'constant_x'
+    WHEN zero_high <= one_low OR one_high <= zero_low THEN 'separated' ELSE 'ok' END"""
+
+
 def _glm_sql(cls: str, level: str) -> str:
     """Newton's method as a chain of tables, each step an aggregate."""
     steps = ", ".join(
@@ -92,13 +100,13 @@ def md1(r):
 
 
 @query("MD1_logistic_by_class", f"""{_glm_sql('channel_engineering_class', _PER_CLASS)}
-    SELECT Metric, flow_metric, direction, channel_engineering_class, n, round(b, 4) AS scaled_slope
-    FROM base JOIN {_GLM_LAST} USING (Metric, flow_metric, direction, channel_engineering_class) WHERE n >= 100""")
+    SELECT Metric, flow_metric, direction, channel_engineering_class, n, {_STATUS} AS status, round(b, 4) AS scaled_slope
+    FROM base LEFT JOIN {_GLM_LAST} USING (Metric, flow_metric, direction, channel_engineering_class)""")
 def md1_by_class(r):
-    """One model per channel class, with the threshold of the class; small groups may be separated."""
+    """One model per channel class, with the threshold of the class; small groups and failed ones are there with their status."""
     models = logistic.fit_logistic(glm_frame(r, CLASS_KEYS), CLASS_KEYS)
-    return models.filter((F.col("n") >= 100) & (F.col("ones") > 0) & (F.col("ones") < F.col("n"))).select(
-        *CLASS_KEYS, "n", F.round(F.col("slope") * F.col("x_sd"), 4).alias("scaled_slope"))
+    return models.select(
+        *CLASS_KEYS, "n", "status", F.round(F.col("slope") * F.col("x_sd"), 4).alias("scaled_slope"))
 
 
 @query("MD2_logistic_summary", f"""{_GLM} SELECT Metric, flow_metric, direction, Class2, n, round(dev + 4, 4) AS AIC,
@@ -117,30 +125,32 @@ def md2_pvalues(r):
 
 
 @query("MD3_logistic_fitted", f"""{_GLM} SELECT Metric, flow_metric, direction, Class2, x, y, round(1 / (1 + exp(-(a + b * z))), 4) AS predictedVals
-    FROM f JOIN {_GLM_LAST} USING (Metric, flow_metric, direction, Class2)""")
+    , 'ok' AS status FROM f JOIN {_GLM_LAST} USING (Metric, flow_metric, direction, Class2)
+    UNION ALL SELECT Metric, flow_metric, direction, Class2, NULL, NULL, NULL, {_STATUS} FROM base WHERE {_STATUS} <> 'ok'""")
 def md3(r):
+    """Fitted values, and one row without values for each configuration that could not be fitted."""
     rows = glm_frame(r)
     models = logistic.fit_logistic(rows, GLM_KEYS)
     fitted = logistic.predict_logistic(models, rows, GLM_KEYS, models.count())
-    return rounded(fitted.filter(F.col("x").isNotNull()), predictedVals=4).withColumn("y", F.col("y").cast("double")).drop("status")
+    return rounded(fitted, predictedVals=4).withColumn("y", F.col("y").cast("double"))
 
 
 @query("MD4_gamma_smooth")
 def md4(r):
-    return spline.fit_gamma(frame(r, positive=True), KEYS, dfs=[4.0]).select(*KEYS, "df", "n", "status", "edf_total", "pieces")
+    return spline.fit_gamma(frame(r), KEYS, dfs=[4.0]).select(*KEYS, "df", "n", "status", "edf_total", "pieces")
 
 
 @query("MD4_gamma_by_class")
 def md4_by_class(r):
     keys = [*KEYS, "Class2"]
-    rows = model_frame(scored(r).filter(F.col("Class2").isNotNull()), keys, "deltah_final", "MetricValue").filter(F.col("y") > 0)
+    rows = model_frame(scored(r).filter(F.col("Class2").isNotNull()), keys, "deltah_final", "MetricValue")
     models = spline.fit_gamma(materialize(rows, "frame"), keys, dfs=[4.0])
     return spline.summarize(models).select(*keys, "n", "status", "AIC", "PValue", "R2")
 
 
 @query("MD5_gamma_summary")
 def md5(r):
-    models = spline.fit_gamma(frame(r, positive=True), KEYS, dfs=[4.0])
+    models = spline.fit_gamma(frame(r), KEYS, dfs=[4.0])
     return spline.summarize(models).select(*KEYS, "df", "n", "status", "AIC", "PValue", "R2")
 
 
@@ -151,7 +161,7 @@ def md6(r):
 
 @query("MD6_gamma_spline")
 def md6_gamma(r):
-    return spline.fit_gamma(frame(r, positive=True), KEYS, smooths=SMOOTHS).select(*KEYS, "smooth", "n", "status", "edf_total", "pieces")
+    return spline.fit_gamma(frame(r), KEYS, smooths=SMOOTHS).select(*KEYS, "smooth", "n", "status", "edf_total", "pieces")
 
 
 @query("MD7_spline_summary")
@@ -211,7 +221,7 @@ def dm10_fitted(r):
 
 
 _LINES = """SELECT Metric, flow_metric, count(*) AS n, round(regr_slope(y, x), 8) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS R2 FROM (
-    SELECT DISTINCT Metric, flow_metric, deltah_final AS x, MetricValue AS y FROM v_all
+    SELECT DISTINCT Metric, flow_metric, channel_engineering_class, deltah_final AS x, MetricValue AS y FROM v_all
     WHERE Metric IN ('csci', 'asci') AND deltah_final IS NOT NULL AND MetricValue IS NOT NULL
       AND NOT (flow_metric IN ('d_peak_10', 'd_peak_2', 'd_peak_5', 'delta_q99') AND deltah_final > 0)) GROUP BY ALL"""
 
@@ -250,6 +260,6 @@ def uf1(r):
 
 
 @query("UF2_failure_isolation", f"""WITH {_GLM_FRAME} SELECT Metric, flow_metric, direction, Class2, n,
-    CASE WHEN n < 3 THEN 'too_few_rows' WHEN ones = 0 OR ones = n THEN 'one_class' WHEN NOT sx > 0 THEN 'constant_x' ELSE 'ok' END AS status FROM base""")
+    {_STATUS} AS status FROM base""")
 def uf2(r):
     return logistic.fit_logistic(glm_frame(r), GLM_KEYS).select(*GLM_KEYS, "n", "status")

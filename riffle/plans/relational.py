@@ -249,7 +249,7 @@ LABELLED = f"""WITH {_LIMITS}, lab AS (SELECT d.class AS channel_engineering_cla
 
 def labelled(r):
     delta = r.reading().withColumnsRenamed({"flow_metric": "Hydro_Metric", "class": "channel_engineering_class"})
-    return label_alteration(delta, published_limits(r.published()), limit_rows=3 * len(PUBLISHED))
+    return label_alteration(delta, published_limits(r.published()), limit_rows=3 * len(PUBLISHED), known=r.reading_metrics())
 
 
 @query("JN10_band", LABELLED + """ SELECT Hydro_Metric, Biol, Threshold, channel_engineering_class, Alteration_Current, count(*) AS n FROM lab GROUP BY ALL""")

@@ -288,6 +288,11 @@ class Roles:
     def reading(self) -> DataFrame:
         return wide_to_long(self.reading_wide(), READINGS, "flow_metric", "deltah_final")
 
+    def reading_metrics(self) -> DataFrame:
+        """Metrics that occur in the readings: all of them, as every row has each, or none of an empty table."""
+        names = [] if self.table("lineitem").isEmpty() else [(name,) for name in READINGS]
+        return tables.constant_table(self.spark, names, tables.schema_of(("Hydro_Metric", "string")))
+
     def published(self) -> DataFrame:
         return tables.constant_table(self.spark, PUBLISHED, tables.PUBLISHED_LIMITS)
 

@@ -56,15 +56,17 @@ FLOW_EDGE = schema_of(("comid", "bigint"), ("to_comid", "bigint"), ("length_km",
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header line; the text ``NA`` is NULL.
 
-    Columns are taken by position, so the schema must list all columns of the file.
+    The header must name the columns of the schema in their order, and a value that does not fit its type ends the
+    read: neither is passed over in silence.
     """
-    return spark.read.schema(schema).csv(path, header=True, nullValue="NA", enforceSchema=True)
+    return spark.read.schema(schema).csv(path, header=True, nullValue="NA", enforceSchema=False, mode="FAILFAST")
 
 
 def read_numbered_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV whose first, unnamed column is a row number: it is dropped."""
     numbered = T.StructType([T.StructField("_row", T.StringType())] + schema.fields)
-    return read_csv(spark, path, numbered).drop("_row")
+    # The header of that column is empty, so it cannot be compared with a name.
+    return spark.read.schema(numbered).csv(path, header=True, nullValue="NA", enforceSchema=True, mode="FAILFAST").drop("_row")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -72,6 +72,31 @@ def test_spline_follows_the_curve(spark, wave):
     assert best.AIC == pytest.approx(n * (math.log(2 * math.pi * rss / n) + 1) + 2 * (edf + 1), rel=1e-6)
 
 
+def test_prediction_uses_every_interval(spark, wave):
+    x, y = wave
+    y = y + np.sin(9 * x)
+    frame = table(spark, [("a", x, y)])
+    models = spline.fit_gaussian(frame, ["g"], [30])
+    pred = spline.predict(models, frame, ["g"], 1).toPandas()
+    assert float(((pred.y - pred.predictedVals) ** 2).sum()) == pytest.approx(models.first().rss, rel=1e-6)
+
+
+def test_unsettled_curve_is_no_result(spark, wave):
+    x, y = wave
+    row = spline.fit_quantile(table(spark, [("a", x, y)]), ["g"], [6], [0.9], steps=1).first()
+    assert row.status == "no_convergence" and row.pieces is None
+
+
+def test_heavy_tails_are_not_separation(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, 2000)
+    y = (rng.uniform(size=2000) < 1 / (1 + np.exp(-2 * x))).astype(float)
+    x, y = np.append(x, [3000.0, -4000.0]), np.append(y, [1, 0])
+    row = logistic.fit_logistic(table(spark, [("a", x, y)]), ["g"]).first()
+    p = 1 / (1 + np.exp(-np.clip(row.intercept + row.slope * x, -500, 500)))
+    assert row.status == "ok" and row.slope == pytest.approx(2, abs=0.3) and abs(np.sum((y - p) * x)) < 1e-3 * len(x)
+
+
 def test_heavy_smoothing_is_the_straight_line(wave):
     x, y = wave
     breaks = np.quantile(x, np.linspace(0, 1, 4))
