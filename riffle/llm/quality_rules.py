@@ -83,17 +83,23 @@ def default_rules() -> dict[str, Column]:
     }
 
 
-def cascade(rows: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def first_rows(docs: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
+    """The first ``n`` rows, read from as few partitions as hold them; a limit inside a plan would read all partitions."""
+    return docs.sparkSession.createDataFrame(docs.take(n), docs.schema)
+
+
+def cascade(rows: DataFrame, rules: dict[str, Column], sample: DataFrame) -> DataFrame:
     """Adds ``rejected_by``: the first rule of the cascade that rejects the row, null if none does.
 
-    Cost and selectivity of each rule are estimated on up to ``sample_rows`` rows: the time of a pass that works out
-    this rule alone, less that of a pass without a rule, and the share it rejects. The rules are then asked in the
-    order of rejection per cost, as one conditional expression, so that a row rejected early never pays for the
-    rest. Which rows are rejected does not depend on the order. A rule that is null for a row does not reject it.
+    Cost and selectivity of each rule are estimated on ``sample``, a small table with the columns of ``rows``: the
+    time of a pass that works out this rule alone, less that of a pass without a rule, and the share it rejects. The
+    rules are then asked in the order of rejection per cost, as one conditional expression, so that a row rejected
+    early never pays for the rest. Which rows are rejected does not depend on the order. A rule that is null for a row
+    does not reject it.
     """
     if not rules:
         return rows.withColumn("rejected_by", F.lit(None).cast("string"))
-    sample = materialize(rows.limit(sample_rows), "rules")
+    sample = materialize(sample, "rules")
     hits = sample.agg(*(F.avg(F.coalesce(rule, F.lit(False)).cast("double")).alias(name) for name, rule in rules.items())).first()
 
     def seconds(*columns: Column) -> float:
@@ -118,5 +124,6 @@ def judge(docs: DataFrame) -> DataFrame:
     text fails). ``kept``: not failed, and rejected by no rule of the cascade. Repeated rows are judged alike; an
     empty table gives an empty result.
     """
-    rows = with_counts(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return cascade(rows, default_rules()).withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+    rows, sample = with_counts(docs), with_counts(first_rows(docs.select("text")))
+    rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return cascade(rows, default_rules(), sample).withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
