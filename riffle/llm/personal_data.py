@@ -222,7 +222,11 @@ def redacted(found: DataFrame) -> DataFrame:
     Overlapping spans become one, named after the kind of the first. A text without a span stays as it is, also null.
     """
     kinds = [*PATTERNS, "secret"]
-    everything = F.array_sort(F.concat(*(F.transform(k, lambda x, k=k: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("kind"))) for k in kinds)))
+
+    def named(kind: str) -> Column:
+        return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    everything = F.array_sort(F.concat(*map(named, kinds)))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(held: Column, x: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from riffle.llm.common import LOWER, U, Texts, spread, steps, words
 
 #: Expected rows of the training sample, its largest size in bytes of text, and words that get a vector of their own.
-SAMPLE_ROWS, SAMPLE_BYTES, VOCABULARY = 8_000, 32 << 20, 20_000
+SAMPLE_ROWS, SAMPLE_BYTES, VOCABULARY = 4_000, 12 << 20, 20_000
 #: Length of a vector, places of an index vector that are not zero, words to each side that are a word's context.
 SIZE, NONZERO, CONTEXT = 64, 4, 2
 HIDDEN, STEPS, RATE, DECAY = 32, 400, 0.01, 1e-4
@@ -106,16 +106,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def context_vectors(index: np.ndarray, starts: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Random indexing: a token's vector is its own index vector plus the mean of those of the tokens near it."""
+def context_vectors(parts: Iterator[tuple[np.ndarray, np.ndarray]], names: np.ndarray) -> np.ndarray:
+    """Random indexing: a token's vector is its own index vector plus the mean of those of the tokens near it.
+
+    ``parts``: token numbers and row starts of some texts at a time.
+    """
     places, signs = index_vectors(names)
-    total, near = np.zeros(len(names) * SIZE), np.bincount(index, minlength=len(names)).astype(float)
-    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    for step in range(1, CONTEXT + 1):
-        inside = row[step:] == row[:-step]
-        for a, b in ((index[step:][inside], index[:-step][inside]), (index[:-step][inside], index[step:][inside])):
-            for k in range(NONZERO):
-                total += np.bincount(a * SIZE + places[b, k], signs[b, k], minlength=len(total))
+    total, near = np.zeros(len(names) * SIZE), np.zeros(len(names))
+    for index, starts in parts:
+        near += np.bincount(index, minlength=len(names))
+        row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        for step in range(1, CONTEXT + 1):
+            inside = row[step:] == row[:-step]
+            for a, b in ((index[step:][inside], index[:-step][inside]), (index[:-step][inside], index[step:][inside])):
+                for k in range(NONZERO):
+                    total += np.bincount(a * SIZE + places[b, k], signs[b, k], minlength=len(total))
     own = np.zeros((len(names), SIZE))
     np.add.at(own, (np.arange(len(names))[:, None], places), signs)
     return (own + total.reshape(-1, SIZE) / np.maximum(2 * CONTEXT * near, 1)[:, None]).astype(np.float32)
@@ -162,18 +167,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed
             break
         part *= SAMPLE_BYTES / size
     found = chosen.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    held = [tokens(t) for t in steps(found.column("text").cast(pa.large_string()).combine_chunks(), 1 << 26)] if len(found) else []
+    held = [tokens(t) for t in steps(found.column("text").cast(pa.large_string()).combine_chunks())] if len(found) else []
     y = found.column("quality").to_numpy().astype(float)
-    hashes = np.concatenate([x.hash for x in held]) if held else np.zeros(0, U)
-    shapes = np.concatenate([x.shape for x in held]) if held else np.zeros(0, np.int64)
-    lengths = np.concatenate([np.diff(x.starts) for x in held]) if held else np.zeros(0, np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    names, n = np.unique(hashes, return_counts=True)
+    names, n = np.unique(np.concatenate([np.zeros(0, U), *(x.hash for x in held)]), return_counts=True)
     names = np.sort(names[np.lexsort((names, -n))[:VOCABULARY]])
     model = QualityModel(names, np.zeros((len(names) + 1, SIZE), np.float32), np.zeros((SHAPES, SIZE), np.float32), np.zeros(1), np.ones(1), [])
-    model.word_vectors = context_vectors(model.word_index(hashes), starts, np.concatenate([names, [U(1)]]))
-    model.shape_vectors = context_vectors(shapes, starts, spread(np.arange(SHAPES, dtype=U) + U(1)))
-    x = model.pooled(Tokens(hashes, shapes, starts))
+    model.word_vectors = context_vectors(((model.word_index(x.hash), x.starts) for x in held), np.concatenate([names, [U(1)]]))
+    model.shape_vectors = context_vectors(((x.shape, x.starts) for x in held), spread(np.arange(SHAPES, dtype=U) + U(1)))
+    x = np.concatenate([np.zeros((0, 2 * SIZE + 1)), *map(model.pooled, held)])
     model.center, model.scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     aside = np.random.default_rng(seed).random(len(y)) < 0.2
     model.layers = train_network(((x - model.center) / model.scale)[~aside], y[~aside], seed)
