@@ -24,10 +24,10 @@ from riffle.session import BROADCAST_ROWS, materialize
 
 MOMENTS = 7
 CROSS = 4
-GAMMA_STEPS = 20
+GAMMA_STEPS = 60
 # From this step on the smoothness of a Gamma fit is held, so that the fit itself converges.
 HOLD_STEP = 5
-QUANTILE_STEPS = 24
+QUANTILE_STEPS = 80
 STRETCH = 1.9
 
 _ARRAY = T.ArrayType(T.DoubleType())

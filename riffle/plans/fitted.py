@@ -117,11 +117,20 @@ def md2(r):
     return rounded(summary.select(*GLM_KEYS, "n", "AIC", "McFaddensR2"), AIC=4, McFaddensR2=6)
 
 
-@query("MD2_logistic_pvalues")
+def _tail_sql(z: str) -> str:
+    """The approximation of :func:`riffle.models.logistic.normal_tail` in SQL."""
+    x, t = f"(abs({z}) / sqrt(2.0::double))", f"(1 / (1 + abs({z}) / sqrt(2.0::double) / 2))"
+    polynomial = str(logistic.ERFC[-1])
+    for c in logistic.ERFC[-2::-1]:
+        polynomial = f"({polynomial} * {t} + ({c}))"
+    return f"{t} * exp({polynomial} - {x} * {x})"
+
+
+@query("MD2_logistic_pvalues", f"""{_GLM} SELECT Metric, flow_metric, direction, Class2, {_STATUS} AS status, round({_tail_sql('(b / se)')}, 5) AS PValue
+    FROM base LEFT JOIN {_GLM_LAST} USING (Metric, flow_metric, direction, Class2)""")
 def md2_pvalues(r):
-    """The normal tail has no SQL counterpart; tests compare it with known values."""
     summary = logistic.summarize_logistic(logistic.fit_logistic(glm_frame(r), GLM_KEYS))
-    return summary.select(*GLM_KEYS, "status", "PValue")
+    return rounded(summary.select(*GLM_KEYS, "status", "PValue"), PValue=5)
 
 
 @query("MD3_logistic_fitted", f"""{_GLM} SELECT Metric, flow_metric, direction, Class2, x, y, round(1 / (1 + exp(-(a + b * z))), 4) AS predictedVals
@@ -231,6 +240,122 @@ def md12(r):
     return lines.fit_quantile_lines(frame(r), KEYS)
 
 
+# ---- what SQL can state exactly about the fits -------------------------------------------
+
+_OBSERVED = """SELECT DISTINCT Metric, flow_metric, channel_engineering_class, deltah_final AS x, MetricValue AS y FROM v_all
+    WHERE Metric IN ('csci', 'asci') AND deltah_final IS NOT NULL AND MetricValue IS NOT NULL
+      AND NOT (flow_metric IN ('d_peak_10', 'd_peak_2', 'd_peak_5', 'delta_q99') AND deltah_final > 0)"""
+_MEANS = f"""WITH f AS ({_OBSERVED}) SELECT Metric, flow_metric, {{size}} AS smooth, count(*) AS n, round(avg(y), 5) AS mean_fitted,
+    round(avg(y * x) / avg(abs(x)), 4) AS weighted_fitted FROM f GROUP BY ALL"""
+
+
+def fitted_means(fitted, by=()):
+    """Mean of the fitted values, plain and weighted by x: a penalty on curvature moves neither away from those of y."""
+    return fitted.groupBy(*KEYS, "smooth", *by).agg(
+        F.count("*").alias("n"), F.round(F.avg("predictedVals"), 5).alias("mean_fitted"),
+        F.round(F.avg(F.col("predictedVals") * F.col("x")) / F.avg(F.abs("x")), 4).alias("weighted_fitted"))
+
+
+@query("MD6_spline_means", _MEANS.format(size=3))
+def md6_means(r):
+    rows = frame(r)
+    models = spline.fit_gaussian(rows, KEYS, [3])
+    return fitted_means(spline.predict(models, rows, KEYS, models.count()))
+
+
+@query("MD8_fitted_means", _MEANS.format(size=6))
+def md8_means(r):
+    rows = frame(r)
+    models = spline.fit_gaussian(rows, KEYS, [6])
+    return fitted_means(spline.predict(models, rows, KEYS, models.count()))
+
+
+@query("IO5_reloaded_means", _MEANS.format(size=6))
+def io5_means(r):
+    rows, path = frame(r), new_path(r.spark, "models")
+    IO.save_models(spline.fit_gaussian(rows, KEYS, [6]), path)
+    models = IO.load_models(r.spark, path)
+    return fitted_means(spline.predict(models, rows, KEYS, models.count()))
+
+
+@query("UF1_one_model_each", f"""WITH f AS ({_OBSERVED}), n AS (SELECT Metric, flow_metric, count(*) AS n FROM f GROUP BY ALL)
+    SELECT Metric, flow_metric, smooth, n, true AS fitted FROM n, (SELECT unnest({C.SMOOTHS}) AS smooth)""")
+def uf1_each(r):
+    """A curve for every configuration and basis size, if need be on fewer knots."""
+    return spline.fit_gaussian(frame(r), KEYS, C.SMOOTHS).select(*KEYS, "smooth", "n", F.col("status").isin("ok", "reduced_k").alias("fitted"))
+
+
+@query("MD7_summary_balance", f"""WITH f AS ({_OBSERVED}) SELECT Metric, flow_metric, smooth, count(*) AS n, round(var_pop(y), 6) AS y_var, 0.0::double AS gap
+    FROM f, (SELECT unnest({C.SMOOTHS}) AS smooth) GROUP BY ALL""")
+def md7_balance(r):
+    """Explained and residual variance add up to that of y."""
+    s = spline.summarize(spline.fit_gaussian(frame(r), KEYS, C.SMOOTHS))
+    gap = F.abs(F.col("DevExplained") + F.col("rss") / (F.col("n") * F.col("y_var")) - 1)
+    return s.select(*KEYS, "smooth", "n", F.round("y_var", 6).alias("y_var"), F.round(gap, 9).alias("gap"))
+
+
+@query("DM22_profile_sizes", f"""WITH f AS ({_OBSERVED}), n AS (SELECT Metric, flow_metric, count(*) AS n FROM f GROUP BY ALL)
+    SELECT Metric, flow_metric, smooth, true AS fitted, smooth - 1 >= 1 AS within FROM n, (SELECT unnest({C.SMOOTHS}) AS smooth)""")
+def dm22_sizes(r):
+    """The profile holds every basis size once, with all measures, and no curve uses more freedom than its basis has."""
+    summary = spline.summarize(spline.fit_gaussian(frame(r), KEYS, C.SMOOTHS))
+    profile = fit_profile(summary, KEYS, "smooth", ["AIC", "EDF", "R2", "DevExplained"])
+    fitted = F.col("AIC").isNotNull() & F.col("EDF").isNotNull() & F.col("R2").isNotNull() & F.col("DevExplained").isNotNull()
+    return profile.select(*KEYS, "smooth", fitted.alias("fitted"), (F.col("EDF") <= F.col("smooth") - 1 + 1e-9).alias("within"))
+
+
+@query("MD4_gamma_ratio", f"""WITH f AS ({_OBSERVED}) SELECT Metric, flow_metric, count(*) AS n, CASE WHEN min(y) > 0 THEN 1.0::double END AS ratio,
+    CASE WHEN min(y) > 0 THEN 'ok' ELSE 'nonpositive_y' END AS status FROM f GROUP BY ALL""")
+def md4_ratio(r):
+    """Mean of observed over fitted: 1 in a Gamma fit with log link and an unpenalised constant."""
+    rows = frame(r)
+    models = spline.fit_gamma(rows, KEYS, dfs=[4.0])
+    fitted = spline.predict(models, rows, KEYS, models.count())
+    return fitted.groupBy(*KEYS, "status").agg(F.count("*").alias("n"), F.round(F.avg(F.col("y") / F.col("predictedVals")), 4).alias("ratio"))
+
+
+@query("MD5_gamma_freedom", f"""WITH f AS ({_OBSERVED}) SELECT Metric, flow_metric, count(*) AS n, 4.0::double AS df,
+    CASE WHEN min(y) > 0 THEN 4.0::double END AS EDF, CASE WHEN min(y) > 0 THEN 'ok' ELSE 'nonpositive_y' END AS status FROM f GROUP BY ALL""")
+def md5_freedom(r):
+    """The degrees of freedom asked for are the ones the fit has."""
+    models = spline.summarize(spline.fit_gamma(frame(r), KEYS, dfs=[4.0]))
+    return models.select(*KEYS, "n", "df", F.round("EDF", 3).alias("EDF"), "status")
+
+
+_SHARES = f"""WITH f AS ({_OBSERVED}), n AS (SELECT Metric, flow_metric, count(*) AS n FROM f GROUP BY ALL)
+    SELECT Metric, flow_metric, {{columns}} FROM n"""
+
+
+@query("MD9_quantile_shares", _SHARES.format(columns="3 AS smooth, unnest([0.9, 0.5])::double AS quantile, n, true AS on_level"))
+def md9_shares(r):
+    """The share of observations below a quantile curve is its level, within 0.01."""
+    models = spline.fit_quantile(frame(r), KEYS, [3], QUANTILES)
+    on_level = F.abs(F.col("below") / F.col("n") - F.col("quantile")) <= 0.01
+    return models.select(*KEYS, "smooth", "quantile", "n", on_level.alias("on_level"))
+
+
+@query("MD10_quantile_gain", _SHARES.format(columns="3 AS smooth, unnest([0.9, 0.5])::double AS quantile, n, true AS better"))
+def md10_gain(r):
+    """No quantile curve has a larger check loss than the constant at the same level."""
+    models = spline.summarize(spline.fit_quantile(frame(r), KEYS, [3], QUANTILES))
+    return models.select(*KEYS, "smooth", "quantile", "n", ((F.col("DevExplained") > -1e-3) & F.col("R2").isNotNull()).alias("better"))
+
+
+@query("MD12_line_shares", _SHARES.format(columns=f"unnest({C.LINE_QUANTILES})::double AS quantile, n, true AS on_level"))
+def md12_shares(r):
+    models = lines.fit_quantile_lines(frame(r), KEYS)
+    return models.select(*KEYS, "quantile", "n", (F.abs(F.col("share_below") - F.col("quantile")) <= 0.01).alias("on_level"))
+
+
+@query("MD11_grid_range", f"""WITH f AS ({_OBSERVED}), s AS (SELECT Metric, flow_metric, min(x) AS lo, max(x) AS hi, abs(avg(x) / 500) AS step FROM f GROUP BY ALL)
+    SELECT Metric, flow_metric, 3 AS smooth, unnest([0.9, 0.5])::double AS quantile, cast(floor((hi - lo) / step + 1e-10) AS bigint) + 1 AS n, lo AS x_min, true AS whole
+    FROM s WHERE step > 0""")
+def md11_range(r):
+    """Every point of the grid has a prediction of every curve."""
+    return curves(r, [3]).groupBy(*KEYS, "smooth", "quantile").agg(
+        F.count("*").alias("n"), F.min("x").alias("x_min"), (F.count("predictedVals") == F.count("*")).alias("whole"))
+
+
 @query("MD13_line", _LINES)
 def md13(r):
     return rounded(lines.fit_lines(frame(r), KEYS), slope=8, intercept=6, R2=6)
