@@ -68,6 +68,23 @@ def steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[Texts]:
         row = end
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 * STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices with at most ``most`` bytes of ``column``, or one row.
+
+    Results are handed on slice by slice, so that a task never holds more than that besides the batch it was given.
+    """
+    for batch in batches:
+        if not len(batch):
+            yield batch
+            continue
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, row = np.cumsum(sizes, dtype=np.int64), 0
+        while row < len(batch):
+            end = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + most, "right")))
+            yield batch.slice(row, end - row)
+            row = end
+
+
 def spread(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose bits all depend on all bits of ``x``."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

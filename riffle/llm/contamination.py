@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riffle.llm.common import BYTES, U, Texts, doubled, grams, powers, steps, words
+from riffle.llm.common import BYTES, U, Texts, doubled, grams, parts, powers, steps, words
 
 #: Bytes of benchmark text that are sent to the tasks at once; a larger benchmark is taken in as many passes.
 BLOCK_BYTES = 8 << 20
@@ -174,7 +174,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage:
     def added(seeds, first: bool):
         def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = seeds.value
-            for batch in found:
+            for batch in parts(found):
                 leaks = [[] for _ in range(len(batch))] if first else batch.column("leaks").to_pylist()
                 for texts, hashes, starts in tokens(batch.column("text")):
                     for row, item, share in held.find(hashes, starts, coverage):

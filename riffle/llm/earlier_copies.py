@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riffle.llm.common import BYTES, anchors, covered, doubled, grams, keyed, list_slices, pair, places, ranges, signed, spread, steps
+from riffle.llm.common import BYTES, STEP_BYTES, anchors, covered, doubled, grams, keyed, list_slices, pair, parts, places, ranges, signed, spread, steps
 from riffle.llm.repeats import NOTHING, anchor_table, apart, chosen, estimated_repeated, listed
 from riffle.llm.run_index import RunIndex
 from riffle.session import materialize
@@ -44,7 +44,7 @@ def remove_earlier(docs: DataFrame, window: int = 100) -> DataFrame:
     hot = listed(estimated_repeated(anchor_table(rows, found)), "anchor")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             hot, at = list_slices(batch.column("anchor"))
             for texts in steps(batch.column("text")):
@@ -129,7 +129,7 @@ def remove_earlier(docs: DataFrame, window: int = 100) -> DataFrame:
     first = indexed.mapInArrow(first_windows, "key long, begin long, size long")
 
     def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "segment", STEP_BYTES):
             keys, at = (batch.column(c).to_numpy() for c in ("key", "begin"))
             for texts in steps(batch.column("segment")):
                 lengths = np.diff(texts.starts) - window + 1

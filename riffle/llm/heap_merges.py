@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riffle.llm.common import parts
 from riffle.llm.vocabulary import END, REMEMBERED, Cutter, Vocabulary
 
 
@@ -77,11 +78,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = Counted(held.value)
-        for batch in found:
+        for batch in parts(found):
             out = []
             for text in batch.column("text"):
-                parts = counted.cutter.parts(text.as_py() or "")
-                out.append(len(parts) // 2 + sum(sum(map(counted.__getitem__, counted.cutter.chunks(x))) for x in parts[::2]))
+                pieces = counted.cutter.parts(text.as_py() or "")
+                out.append(len(pieces) // 2 + sum(sum(map(counted.__getitem__, counted.cutter.chunks(x))) for x in pieces[::2]))
                 counted.trim()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(out, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riffle.llm.common import U, Texts, signed, spread, steps
+from riffle.llm.common import U, Texts, parts, signed, spread, steps
 
 #: Bytes of an n-gram, hashes of an n-gram, and rows of the filters as a power of two.
 GRAM, HASHES, BITS = 4, 3, 18
@@ -101,7 +101,7 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilters:
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < limit[F.col("lang")])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             name = batch.column("lang").dictionary_encode()
             index, names = name.indices.to_numpy(), name.dictionary.to_pylist()
             for texts in lowered(batch.column("text")):
@@ -134,7 +134,7 @@ def predict(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = held.value
-        for batch in found:
+        for batch in parts(found):
             names, scores = [], []
             for texts in lowered(batch.column("text")):
                 shares = filters.scores(texts) if filters.languages else np.zeros((texts.rows, 1))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riffle.llm.common import LOWER, U, Texts, doubled, grams, keyed, list_column, pair, signed, spread, steps, words
+from riffle.llm.common import LOWER, U, Texts, doubled, grams, keyed, list_column, pair, parts, signed, spread, steps, words
 from riffle.llm.components import components
 from riffle.session import materialize, release
 
@@ -88,7 +88,7 @@ def labelled(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """(``key``, ``n_shingles``, ``least``): the smallest key of the component of each row of ``rows`` (``key``, ``text``)."""
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             for texts in steps(batch.column("text")):
                 hashes, starts = shingles(texts, size)
@@ -123,7 +123,7 @@ def labelled(rows: DataFrame, size: int, percent: int) -> DataFrame:
         return 100 * inside >= percent * (len(a) + len(b) - inside)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             keep = np.zeros(len(batch), bool)
             left = [(t.first + i, h[s[i]:s[i + 1]]) for t in steps(batch.column("text")) for h, s in [shingles(t, size)] for i in range(t.rows)]
             for t in steps(batch.column("other")):

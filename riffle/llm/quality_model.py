@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riffle.llm.common import LOWER, U, Texts, spread, steps, words
+from riffle.llm.common import LOWER, U, Texts, parts, spread, steps, words
 
 #: Expected rows of the training sample, its largest size in bytes of text, and words that get a vector of their own.
-SAMPLE_ROWS, SAMPLE_BYTES, VOCABULARY = 4_000, 12 << 20, 20_000
+SAMPLE_ROWS, SAMPLE_BYTES, VOCABULARY = 4_000, 8 << 20, 20_000
+#: Bytes of text that are scored together.
+SCORE_BYTES = 1 << 18
 #: Length of a vector, places of an index vector that are not zero, words to each side that are a word's context.
 SIZE, NONZERO, CONTEXT = 64, 4, 2
 HIDDEN, STEPS, RATE, DECAY = 32, 400, 0.01, 1e-4
@@ -91,8 +93,8 @@ class QualityModel:
     def pooled(self, found: Tokens) -> np.ndarray:
         """Mean word vector and mean shape vector of each row, and the logarithm of its words."""
         n = np.diff(found.starts)[:, None]
-        parts = [sums(self.word_vectors[self.word_index(found.hash)], found.starts), sums(self.shape_vectors[found.shape], found.starts)]
-        return np.hstack([*(x / np.maximum(n, 1) for x in parts), np.log1p(n)])
+        pools = [sums(self.word_vectors[self.word_index(found.hash)], found.starts), sums(self.shape_vectors[found.shape], found.starts)]
+        return np.hstack([*(x / np.maximum(n, 1) for x in pools), np.log1p(n)])
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -106,14 +108,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def context_vectors(parts: Iterator[tuple[np.ndarray, np.ndarray]], names: np.ndarray) -> np.ndarray:
+def context_vectors(texts: Iterator[tuple[np.ndarray, np.ndarray]], names: np.ndarray) -> np.ndarray:
     """Random indexing: a token's vector is its own index vector plus the mean of those of the tokens near it.
 
-    ``parts``: token numbers and row starts of some texts at a time.
+    ``texts``: token numbers and row starts of some texts at a time.
     """
     places, signs = index_vectors(names)
     total, near = np.zeros(len(names) * SIZE), np.zeros(len(names))
-    for index, starts in parts:
+    for index, starts in texts:
         near += np.bincount(index, minlength=len(names))
         row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         for step in range(1, CONTEXT + 1):
@@ -198,8 +200,8 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch in found:
-            out = [model.scores(tokens(texts)) for texts in steps(batch.column("text"))]
+        for batch in parts(found):
+            out = [model.scores(tokens(texts)) for texts in steps(batch.column("text"), SCORE_BYTES)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.concatenate(out) if out else np.zeros(0))], [*kept, "quality_score"])
 
     return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(batches, ", ".join([*fields, "quality_score double"]))

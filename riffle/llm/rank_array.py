@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riffle.llm.common import parts
 from riffle.llm.heap_merges import merge as merge_long
 from riffle.llm.vocabulary import END, REMEMBERED, Cutter, Vocabulary
 
@@ -85,11 +86,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         vocabulary = held.value
         encoded = Encoded(vocabulary)
         special = {x: np.array([i], "<u4").tobytes() for x, i in vocabulary.special.items()}
-        for batch in found:
+        for batch in parts(found):
             out = []
             for text in batch.column("text"):
-                parts = encoded.cutter.parts(text.as_py() or "")
-                out.append(b"".join(special[x] if i % 2 else b"".join(map(encoded.__getitem__, encoded.cutter.chunks(x))) for i, x in enumerate(parts)))
+                pieces = encoded.cutter.parts(text.as_py() or "")
+                out.append(b"".join(special[x] if i % 2 else b"".join(map(encoded.__getitem__, encoded.cutter.chunks(x))) for i, x in enumerate(pieces)))
                 encoded.trim()
             counts = pa.array([len(x) // 4 for x in out], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), counts, pa.array(out, pa.binary())], [*kept, "n_tokens", "ids"])
@@ -108,7 +109,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = held.value.names
-        for batch in found:
+        for batch in parts(found, "ids"):
             out = [" ".join(map(names.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.string())], [*kept, "decoded"])
 

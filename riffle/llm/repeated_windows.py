@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riffle.llm.common import anchors, covered, doubled, grams, keyed, list_slices, pair, places, signed, steps, words
+from riffle.llm.common import anchors, covered, doubled, grams, keyed, list_slices, pair, parts, places, signed, steps, words
 from riffle.llm.repeats import NOTHING, anchor_table, apart, chosen, estimated_repeated, listed
 
 #: Words of an anchor.
@@ -39,7 +39,7 @@ def remove_repeated(docs: DataFrame, window: int = 35) -> DataFrame:
     hot = listed(estimated_repeated(anchor_table(rows, find)), "anchor")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             hot, at = list_slices(batch.column("anchor"))
             for texts in steps(batch.column("text")):
@@ -69,7 +69,7 @@ def remove_repeated(docs: DataFrame, window: int = 35) -> DataFrame:
                 order = np.searchsorted(got.row, np.arange(texts.rows + 1))
                 for i in range(texts.rows):
                     row, base = texts.first + i, found.starts[i]
-                    n, parts = int(found.starts[i + 1] - base), texts.text(i).split()
+                    n, kept_words = int(found.starts[i + 1] - base), texts.text(i).split()
                     removed = 0
                     if order[i] < order[i + 1]:
                         begin = places(got.begin[order[i]:order[i + 1]], got.end[order[i]:order[i + 1]]) - base
@@ -77,10 +77,10 @@ def remove_repeated(docs: DataFrame, window: int = 35) -> DataFrame:
                         gone = covered(n, begin, begin + window)
                         removed = int(gone.sum())
                         if removed:
-                            parts = [parts[j] for j in np.flatnonzero(~gone)]
+                            kept_words = [kept_words[j] for j in np.flatnonzero(~gone)]
                     n_words.append(n)
                     n_removed.append(removed)
-                    out.append(b" ".join(parts).decode())
+                    out.append(b" ".join(kept_words).decode())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_text"])

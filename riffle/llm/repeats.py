@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riffle.llm.common import Anchors, Texts, signed, steps
+from riffle.llm.common import Anchors, Texts, parts, signed, steps
 from riffle.session import materialize, release
 
 #: Cells of a sketch row for each anchor, and the rows of the sketch.
@@ -25,7 +25,7 @@ def anchor_table(rows: DataFrame, find: Callable[[Texts], Anchors]) -> DataFrame
     """(``anchor``, ``key``) for each anchor of each text of ``rows`` (``key``, ``text``)."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
+        for batch in parts(found):
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             for texts in steps(batch.column("text")):
                 got = find(texts)
@@ -68,7 +68,7 @@ def chosen(found: Anchors, hot: np.ndarray) -> Anchors:
 
 def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of joined batches with anchors that may repeat, then those without: these need no hashing."""
-    for batch in batches:
+    for batch in parts(batches):
         some = batch.column("anchor").is_valid()
         yield batch.filter(some)
         yield batch.filter(pc.invert(some))

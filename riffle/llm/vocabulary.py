@@ -6,6 +6,7 @@ import json
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -66,6 +67,7 @@ class Vocabulary:
     names: list[str] = field(default_factory=list)
 
     @classmethod
+    @lru_cache(4)
     def load(cls, path: str) -> Vocabulary:
         """From a vocabulary file of lower-case words with word ends (a BPE model whose suffix is ``</w>``)."""
         with open(path, encoding="utf-8") as file:
