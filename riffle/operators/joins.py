@@ -91,25 +91,26 @@ def pair_by_key(left: DataFrame, right: DataFrame, key: str, rows_per_slice: int
     """All left/right pairs that share a key, without duplicates.
 
     The pairs of a hot key are the result and cannot be fewer, but no single task makes them
-    all: the right rows of a key are cut into slices by their content, and the left rows of
-    that key are sent to each slice. Duplicates go before the join, so equal copies of a row
-    cannot fill one slice.
+    all: the rows of a key are cut into slices by their content on either side, and each slice
+    of one side meets each slice of the other in a task of its own. Duplicates go before the
+    join, so equal copies of a row cannot fill one slice.
     """
     left, right = left.distinct(), right.distinct()
-    slices = (
-        right.groupBy(key).count()
-        .select(F.col(key).alias("__key"), F.ceil(F.col("count") / F.lit(rows_per_slice)).cast("int").alias("__slices"))
-    )
-    sliced = right.join(slices, F.col(key) == F.col("__key")).withColumn(
-        "__slice", F.pmod(F.xxhash64(*right.columns), F.col("__slices")).cast("int")
-    ).drop("__key", "__slices").withColumnRenamed(key, "__key")
-    spread = left.join(slices, F.col(key) == F.col("__key")).withColumn(
-        "__part", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1))
-    ).drop("__key", "__slices")
-    return (
-        spread.join(sliced, (F.col(key) == F.col("__key")) & (F.col("__part") == F.col("__slice")))
-        .drop("__part", "__slice", "__key")
-    )
+
+    def slices(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(F.col(key).alias("__key")).agg(F.ceil(F.count("*") / F.lit(rows_per_slice)).cast("int").alias(name))
+
+    cuts = slices(left, "__lefts").join(slices(right, "__rights"), "__key")
+
+    def cut(side: DataFrame, own: str, other: str) -> DataFrame:
+        placed = side.join(cuts, F.col(key) == F.col("__key"))
+        part = F.pmod(F.xxhash64(*side.columns), F.col(own)).cast("int").alias(f"{own}_part")
+        return placed.select(*side.columns, part, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_part"))
+
+    parts = {"__lefts_part": "__a", "__rights_part": "__b"}
+    sliced = cut(right, "__rights", "__lefts").withColumnsRenamed({key: "__key", **parts})
+    same = (F.col(key) == F.col("__key")) & (F.col("__lefts_part") == F.col("__a")) & (F.col("__rights_part") == F.col("__b"))
+    return cut(left, "__lefts", "__rights").join(sliced, same).drop("__key", "__a", "__b", *parts)
 
 
 def config_grid(df: DataFrame, **lists: Sequence) -> DataFrame:
