@@ -27,8 +27,8 @@ CROSS = 4
 GAMMA_STEPS = 60
 # From this step on the smoothness of a Gamma fit is held, so that the fit itself converges.
 HOLD_STEP = 5
-QUANTILE_STEPS = 80
-STRETCH = 1.9
+QUANTILE_STEPS = 60
+STRETCH, STRETCHED = 1.9, 16
 
 _ARRAY = T.ArrayType(T.DoubleType())
 FITTED = [
@@ -279,10 +279,12 @@ def fit_quantile(
             "converged": F.expr(steady), "loss": F.col("new_loss"), "below": F.col("new_below"),
             "null_loss": F.col("new_null"), "sum_r": F.col("new_r"), "sum_rr": F.col("new_rr"),
         })
-        if i % 2:
+        if i % 2 and i < STRETCHED:
             return _solve(new, carried)
-        # Majorisation steps are short: every other one is stretched, unless it is the last.
-        longer = f"if(converged OR pieces IS NULL, pieces, zip_with(before, pieces, (a, b) -> a + {STRETCH}d * (b - a)))"
+        # Majorisation steps are short: every other one is stretched, unless it is the last. A model that still
+        # swings to and fro after that takes half steps.
+        factor = STRETCH if i < STRETCHED else 0.5
+        longer = f"if(converged OR pieces IS NULL, pieces, zip_with(before, pieces, (a, b) -> a + {factor}d * (b - a)))"
         return _solve(new, [*carried, "before"]).withColumn("pieces", F.expr(longer)).drop("before")
 
     done = _iterate(start, step, steps, "quantile")

@@ -39,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder:
         return folder.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master.split("[")[0] != "local":  # local-cluster has executors of its own
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     if not getattr(context, "_riffle_folder", None):
         context._riffle_folder = tempfile.mkdtemp(prefix="riffle-")
