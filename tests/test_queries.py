@@ -34,3 +34,13 @@ def test_scans_are_narrow(spark):
     text = plan(catalog.QUERIES["PF4_filter"](spark, SF))
     assert "PushedFilters: [IsNotNull(o_orderstatus)" in text and "o_orderdate" not in text.split("ReadSchema")[1]
     assert "l_shipdate" not in plan(catalog.QUERIES["DM5_sign_tally_readings"](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["JN10_band", "DM9_alteration_direction"])
+def test_readings_are_scanned_once(spark, name):
+    assert plan(catalog.QUERIES[name](spark, SF)).count("lineitem.parquet") == 1
+
+
+def test_records_are_merged_before_classes_multiply_them(spark):
+    text = plan(catalog.QUERIES["AG13_overall_classes"](spark, SF))
+    assert text.index("Generate explode") < text.index("collect_set")  # plans are read from the result down
