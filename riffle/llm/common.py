@@ -5,7 +5,9 @@ All hashing is plain numpy over the UTF-8 buffer of an Arrow batch, so that no P
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,6 +70,13 @@ def steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[Texts]:
         row = end
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are kept for later tasks, and with them what they hold."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 * STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of batches in slices with at most ``most`` bytes of ``column``, or one row.
 
@@ -83,6 +92,7 @@ def parts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4
             end = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + most, "right")))
             yield batch.slice(row, end - row)
             row = end
+        give_back()
 
 
 def spread(x: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riffle.llm.common import LOWER, U, Texts, parts, spread, steps, words
+from riffle.llm.common import LOWER, U, Texts, give_back, parts, spread, steps, words
 
 #: Expected rows of the training sample, its largest size in bytes of text, and words that get a vector of their own.
 SAMPLE_ROWS, SAMPLE_BYTES, VOCABULARY = 4_000, 8 << 20, 20_000
@@ -185,6 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed
         choices = np.geomspace(0.25, 8, 61)
         losses = [-np.mean(y[aside] * np.log(p) + (1 - y[aside]) * np.log(1 - p)) for t in choices for p in [np.clip(sigmoid(logits / t), 1e-9, 1 - 1e-9)]]
         model.temperature = float(choices[int(np.argmin(losses))])
+    del found, held, x
+    give_back()
     return model
 
 
