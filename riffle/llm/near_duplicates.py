@@ -19,7 +19,7 @@ from riffle.session import materialize, release
 #: no table with a probability of about 2 * (1 - 0.85 ** ROWS) ** HALVES, or 0.0003.
 HALVES, ROWS = 12, 4
 #: Sets that are compared with each other in one task.
-BLOCK = 4096
+BLOCK = 1024
 
 
 def shingles(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
