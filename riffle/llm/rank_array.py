@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -20,30 +21,25 @@ NONE = sys.maxsize
 
 
 def merge_short(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Symbols of a word: boundaries of its parts and the rank of each adjacent pair, side by side.
+    """Symbols of a word: its parts between the boundaries and the rank of each adjacent pair, in two arrays side by side.
 
     The least rank (the first of equal ones) is looked for again and again; its inner boundary goes, and the ranks
     of the pairs to both sides are looked up anew.
     """
-    text = word + END
-    bounds = [*range(len(word)), len(text)]
-
-    def rank(i: int) -> int:
-        a, b, c = bounds[i], bounds[i + 1], bounds[i + 2]
-        return ranks.get((text[a:b], text[b:c]), NONE)
-
-    held = [rank(i) for i in range(len(bounds) - 2)]
+    symbols, get = [*word[:-1], word[-1] + END], ranks.get
+    held = [get(pair, NONE) for pair in zip(symbols, symbols[1:])]
     while held:
         low = min(held)
         if low == NONE:
             break
         i = held.index(low)
-        del bounds[i + 1], held[i]
+        symbols[i] += symbols.pop(i + 1)
+        del held[i]
         if i < len(held):
-            held[i] = rank(i)
+            held[i] = get((symbols[i], symbols[i + 1]), NONE)
         if i:
-            held[i - 1] = rank(i - 1)
-    return [text[a:b] for a, b in zip(bounds, bounds[1:])]
+            held[i - 1] = get((symbols[i - 1], symbols[i]), NONE)
+    return symbols
 
 
 class Encoded(dict):
@@ -60,7 +56,7 @@ class Encoded(dict):
                 symbols = merge_short(word, self.vocabulary.ranks) if len(word) <= SHORT else merge_long(word, self.vocabulary.ranks)
                 ids = self.words[word] = [self.vocabulary.ids[x] for x in symbols]
             out += ids
-        self[chunk] = found = np.array(out, "<u4").tobytes()
+        self[chunk] = found = pack(f"<{len(out)}I", *out)
         return found
 
     def trim(self) -> None:

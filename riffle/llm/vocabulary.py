@@ -34,6 +34,7 @@ UNKNOWN_MARKS = [
     (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97),
     (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
 ]
+FIRST_MARK, FIRST_CAPITAL, SIGMA = chr(UNKNOWN_MARKS[0][0]), chr(min(NEW_CAPITALS)), "\u03a3"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
@@ -112,6 +113,11 @@ class Cutter:
         if chunk.isascii():
             clean = chunk.lower()
         else:
-            clean = "".join(unicodedata.normalize("NFC", x) for x in self.mark.split(chunk))
-            clean = "".join(map(str.lower, clean)).translate(NEW_CAPITALS)
-        return [x.encode().decode("latin-1").translate(self.names) for x in self.word.findall(clean)]
+            pieces = self.mark.split(chunk) if max(chunk) >= FIRST_MARK else [chunk]
+            clean = "".join(unicodedata.normalize("NFC", x) for x in pieces)
+            # Each character by itself: a capital sigma that ends a word is no special case.
+            clean = "".join(map(str.lower, clean)) if SIGMA in clean else clean.lower()
+            if max(clean) >= FIRST_CAPITAL:
+                clean = clean.translate(NEW_CAPITALS)
+        # Printable ASCII stands for itself.
+        return [x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.names) for x in self.word.findall(clean)]
