@@ -141,6 +141,7 @@ def _solve_one(row: dict) -> tuple:
     target = None if target is None or np.isnan(target) else min(float(target), len(g) - 1e-6)
     try:
         beta, edf, rss, lam = small.penalised_fit(g, b, small.roughness(pieces, breaks), float(row["zz"]), float(row["n"]), target)
+        beta = small.levelled(beta, g, b, breaks, degree)
     except np.linalg.LinAlgError:
         return None, None, None, None, "no_convergence"
     return small.to_pieces(beta, pieces).tolist(), edf, rss, lam, "reduced_k" if row["reduced"] else "ok"

@@ -17,7 +17,8 @@ from riffle.sources import tables as IO
 
 KEYS = ["Metric", "flow_metric"]
 GLM_KEYS = [*KEYS, "direction", "Class2"]
-SMOOTHS, QUANTILES = [3, 6], C.CHOSEN_QUANTILES
+# The whole grid of the analysis; the chosen basis sizes and quantiles are picked from it later.
+SMOOTHS, QUANTILES, DFS = C.SMOOTHS, C.QUANTILES, [float(k) for k in C.SMOOTHS]
 
 
 def scored(r):
@@ -146,20 +147,20 @@ def md3(r):
 
 @query("MD4_gamma_smooth")
 def md4(r):
-    return spline.fit_gamma(frame(r), KEYS, dfs=[4.0]).select(*KEYS, "df", "n", "status", "edf_total", "pieces")
+    return spline.fit_gamma(frame(r), KEYS, dfs=DFS).select(*KEYS, "df", "n", "status", "edf_total", "pieces")
 
 
 @query("MD4_gamma_by_class")
 def md4_by_class(r):
     keys = [*KEYS, "Class2"]
     rows = model_frame(scored(r).filter(F.col("Class2").isNotNull()), keys, "deltah_final", "MetricValue")
-    models = spline.fit_gamma(materialize(rows, "frame"), keys, dfs=[4.0])
-    return spline.summarize(models).select(*keys, "n", "status", "AIC", "PValue", "R2")
+    models = spline.fit_gamma(materialize(rows, "frame"), keys, dfs=DFS)
+    return spline.summarize(models).select(*keys, "df", "n", "status", "AIC", "PValue", "R2")
 
 
 @query("MD5_gamma_summary")
 def md5(r):
-    models = spline.fit_gamma(frame(r), KEYS, dfs=[4.0])
+    models = spline.fit_gamma(frame(r), KEYS, dfs=DFS)
     return spline.summarize(models).select(*KEYS, "df", "n", "status", "AIC", "PValue", "R2")
 
 
@@ -329,7 +330,7 @@ _SHARES = f"""WITH f AS ({_OBSERVED}), n AS (SELECT Metric, flow_metric, count(*
 @query("MD9_quantile_shares", _SHARES.format(columns="3 AS smooth, unnest([0.9, 0.5])::double AS quantile, n, true AS on_level"))
 def md9_shares(r):
     """The share of observations below a quantile curve is its level, within 0.01."""
-    models = spline.fit_quantile(frame(r), KEYS, [3], QUANTILES)
+    models = spline.fit_quantile(frame(r), KEYS, [3], C.CHOSEN_QUANTILES)
     on_level = F.abs(F.col("below") / F.col("n") - F.col("quantile")) <= 0.01
     return models.select(*KEYS, "smooth", "quantile", "n", on_level.alias("on_level"))
 
@@ -337,7 +338,7 @@ def md9_shares(r):
 @query("MD10_quantile_gain", _SHARES.format(columns="3 AS smooth, unnest([0.9, 0.5])::double AS quantile, n, true AS better"))
 def md10_gain(r):
     """No quantile curve has a larger check loss than the constant at the same level."""
-    models = spline.summarize(spline.fit_quantile(frame(r), KEYS, [3], QUANTILES))
+    models = spline.summarize(spline.fit_quantile(frame(r), KEYS, [3], C.CHOSEN_QUANTILES))
     return models.select(*KEYS, "smooth", "quantile", "n", ((F.col("DevExplained") > -1e-3) & F.col("R2").isNotNull()).alias("better"))
 
 
@@ -347,13 +348,62 @@ def md12_shares(r):
     return models.select(*KEYS, "quantile", "n", (F.abs(F.col("share_below") - F.col("quantile")) <= 0.01).alias("on_level"))
 
 
+def grid_size(tagged):
+    return tagged.groupBy(*KEYS, "smooth", "quantile").agg(
+        F.count("*").alias("n"), F.min("x").alias("x_min"), (F.count("predictedVals") == F.count("*")).alias("whole"))
+
+
 @query("MD11_grid_range", f"""WITH f AS ({_OBSERVED}), s AS (SELECT Metric, flow_metric, min(x) AS lo, max(x) AS hi, abs(avg(x) / 500) AS step FROM f GROUP BY ALL)
     SELECT Metric, flow_metric, 3 AS smooth, unnest([0.9, 0.5])::double AS quantile, cast(floor((hi - lo) / step + 1e-10) AS bigint) + 1 AS n, lo AS x_min, true AS whole
     FROM s WHERE step > 0""")
 def md11_range(r):
     """Every point of the grid has a prediction of every curve."""
-    return curves(r, [3]).groupBy(*KEYS, "smooth", "quantile").agg(
-        F.count("*").alias("n"), F.min("x").alias("x_min"), (F.count("predictedVals") == F.count("*")).alias("whole"))
+    return grid_size(curves(r, [3], C.CHOSEN_QUANTILES))
+
+
+# ---- the same on the whole grid; the queries above keep the part that their SQL states ------
+
+_EACH_SIZE = f"(SELECT unnest({C.SMOOTHS}) AS smooth)"
+_EACH_CURVE = f"{_EACH_SIZE}, (SELECT unnest({C.QUANTILES})::double AS quantile)"
+
+
+@query("MD6_spline_means_grid", f"""WITH f AS ({_OBSERVED}), m AS (SELECT Metric, flow_metric, count(*) AS n, round(avg(y), 5) AS mean_fitted,
+      round(avg(y * x) / avg(abs(x)), 4) AS weighted_fitted FROM f GROUP BY ALL)
+    SELECT Metric, flow_metric, smooth, n, mean_fitted, weighted_fitted FROM m, {_EACH_SIZE}""")
+def md6_means_grid(r):
+    rows = frame(r)
+    models = spline.fit_gaussian(rows, KEYS, SMOOTHS)
+    return fitted_means(spline.predict(models, rows, KEYS, models.count()))
+
+
+@query("MD4_gamma_grid", f"""WITH f AS ({_OBSERVED}), m AS (SELECT Metric, flow_metric, count(*) AS n, min(y) > 0 AS positive FROM f GROUP BY ALL)
+    SELECT Metric, flow_metric, df, n, CASE WHEN positive THEN 1.0::double END AS ratio, positive AS fitted FROM m, (SELECT unnest({DFS})::double AS df)""")
+def md4_grid(r):
+    """Mean of observed over fitted, and whether there is a curve, for all seven degrees of freedom."""
+    rows = frame(r)
+    models = spline.fit_gamma(rows, KEYS, dfs=DFS)
+    fitted = spline.predict(models, rows, KEYS, models.count())
+    return fitted.groupBy(*KEYS, "df").agg(
+        F.count("*").alias("n"), F.round(F.avg(F.col("y") / F.col("predictedVals")), 4).alias("ratio"),
+        F.bool_and(F.col("status").isin("ok", "reduced_k")).alias("fitted"))
+
+
+@query("MD9_quantile_grid", f"""WITH f AS ({_OBSERVED}), n AS (SELECT Metric, flow_metric, count(*) AS n FROM f GROUP BY ALL)
+    SELECT Metric, flow_metric, smooth, quantile, n, true AS fitted, true AS on_level, true AS better FROM n, {_EACH_CURVE}""")
+def md9_grid(r):
+    """All 28 curves of a configuration: settled, on their level within 0.01, and no worse than the constant."""
+    models = spline.summarize(spline.fit_quantile(frame(r), KEYS, SMOOTHS, QUANTILES))
+    return models.select(
+        *KEYS, "smooth", "quantile", "n", F.col("status").isin("ok", "reduced_k").alias("fitted"),
+        (F.abs(F.col("below") / F.col("n") - F.col("quantile")) <= 0.01).alias("on_level"),
+        ((F.col("DevExplained") > -1e-3) & F.col("R2").isNotNull()).alias("better"))
+
+
+@query("MD11_range_grid", f"""WITH f AS ({_OBSERVED}), s AS (SELECT Metric, flow_metric, min(x) AS lo, max(x) AS hi, abs(avg(x) / 500) AS step FROM f GROUP BY ALL)
+    SELECT Metric, flow_metric, smooth, quantile, cast(floor((hi - lo) / step + 1e-10) AS bigint) + 1 AS n, lo AS x_min, true AS whole
+    FROM s, {_EACH_CURVE} WHERE step > 0""")
+def md11_range_grid(r):
+    return grid_size(curves(r))
 
 
 @query("MD13_line", _LINES)
