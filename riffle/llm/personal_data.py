@@ -21,8 +21,14 @@ NEEDED = {"email": "@", "ip": "[0-9][.][0-9]", "card": "[0-9][\\x20-]?[0-9]", "p
 CANDIDATE = r"(?:(?<![A-Za-z0-9_/+-])|\G)(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+"
 #: Gazetteer of words before a credential.
 CREDENTIAL_WORDS = ["token", "password", "passwd", "pwd", "secret", "key", "apikey", "auth", "bearer", "credential"]
+#: What is assigned to such a word is a candidate whatever its length and characters: quoted to the end of the quotes, else
+#: up to a space, without the punctuation of the sentence.
+_ASSIGNED = rf"(?i:{'|'.join(CREDENTIAL_WORDS)})[\"']?\s{{0,2}}[:=]{{1,2}}\s{{0,2}}"
+NAMED = (rf"(?<=[:=\s\"'])(?:(?<={_ASSIGNED}\")[^\"\r\n]++(?=\")|(?<={_ASSIGNED}')[^'\r\n]++(?=')"
+         rf"|(?<={_ASSIGNED}[\"']?)[^\s\"':=]\S*(?<![.,;)\]}}>\"']))")
 LABELERS = ["regex", "gazetteer", "context", "mixture"]
-FEATURES = ["upper", "lower", "mixed_case", "hex", "no_letter", "long", "very_long", "prefix", "named", "assigned"]
+FEATURES = ["upper", "lower", "mixed_case", "hex", "no_letter", "long", "very_long", "short", "plain_word", "prefix", "named", "assigned"]
+PLAIN_WORD = "^[A-Z]?[a-z]+$"
 #: Pieces whose lengths are added up in one go.
 STEP = 256
 EM_ROUNDS, FIT_ROUNDS, RIDGE = 50, 30, 1.0
@@ -94,7 +100,12 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    return matches(text, CANDIDATE, text.rlike("[0-9]"))
+    """Long words with a digit, and whatever is assigned to a credential word; the latter stands for the long words in it."""
+    def merged(named: Column) -> Column:
+        inside = lambda x: F.exists(named, lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]))
+        return F.array_sort(F.concat(named, F.filter(matches(text, CANDIDATE, text.rlike("[0-9]")), lambda x: ~inside(x))))
+
+    return let(matches(text, NAMED, text.rlike(_ASSIGNED)), merged)
 
 
 def votes(span: Column) -> dict[str, Column]:
@@ -107,7 +118,7 @@ def votes(span: Column) -> dict[str, Column]:
         "regex": F.when(value.rlike("^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9_/+-]{20,})$"), 1).when(letters == 0, 0).otherwise(-1),
         "gazetteer": F.when(before.rlike(f"(?i)(?:{words})[\\s=:\"']{{1,6}}$"), 1).otherwise(-1),
         "context": F.when(before.rlike("[=:]\\s?[\"']?$"), 1).when(before.rlike("\\w[,.]?\\s$") & after.rlike("^\\s?\\w"), -1).otherwise(0),
-        "mixture": F.when((letters >= 3) & (number >= 3), 1).when(letters == 0, 0).otherwise(-1),
+        "mixture": F.when((letters >= 3) & (number >= 3), 1).when((letters == 0) | value.rlike(PLAIN_WORD), 0).otherwise(-1),
     }
 
 
@@ -117,6 +128,7 @@ def features(span: Column) -> dict[str, Column]:
     return {
         "upper": upper & ~lower, "lower": lower & ~upper, "mixed_case": upper & lower, "hex": value.rlike("^[0-9a-f]+$"),
         "no_letter": ~value.rlike("[A-Za-z]"), "long": F.length(value) >= 20, "very_long": F.length(value) >= 32,
+        "short": F.length(value) < 16, "plain_word": value.rlike(PLAIN_WORD),
         "prefix": value.rlike("^[A-Z]{4}[0-9A-Z]{16}$"), "named": votes(span)["gazetteer"] == 1, "assigned": votes(span)["context"] == 1,
     }
 
@@ -178,7 +190,7 @@ def fit(docs: DataFrame) -> SpanClassifier:
     """Classifier of credential candidates from all texts of ``docs``, without a label.
 
     The labelers vote on every candidate. Votes and features are counted in Spark; what reaches the driver are the
-    counts of the combinations that occur, at most ``3 ** 4 * 2 ** 10`` rows whatever the input. From the vote
+    counts of the combinations that occur, at most ``3 ** 4 * 2 ** 12`` rows whatever the input. From the vote
     counts expectation-maximisation estimates how reliable each labeler is, and the posteriors train the
     classifier. Without any candidate it accepts nothing.
     """

@@ -143,6 +143,19 @@ def test_labelers_and_classifier(spark):
     assert all(found[i] == [hexes[i]] for i in range(60)) and not any(found[i] for i in range(60, 180))
 
 
+def test_short_credentials(spark):
+    draw = random.Random(7)
+    hexes = ["".join(draw.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
+    short = {"password = Summer2024 ok": ["Summer2024"], "pwd: hunter2.": ["hunter2"], 'the "password": "P@ssw0rd!2024", next': ["P@ssw0rd!2024"],
+             "Secret='two words, x9' end": ["two words, x9"], "passwd=Tr0ub4dor&3": ["Tr0ub4dor&3"], "pwd: QWErty!": ["QWErty!"],
+             "password=ab!cdefghijklmnop12345": ["ab!cdefghijklmnop12345"]}
+    texts = list(short) + [f'the token = "{x}" here' for x in hexes] + [f"see 4{draw.randrange(10**15):015d} now" for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.text: [x.value for x in r.secret] for r in personal_data.find(docs, personal_data.fit(docs)).collect()}
+    assert {t: found[t] for t in short} == short
+    assert all(found[f'the token = "{x}" here'] == [x] for x in hexes) and not any(v for t, v in found.items() if t.startswith("see"))
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.de or c@d.fr, ip 1.2.3.4."), (2, None), (3, "none"), (4, "")]
     out = personal_data.redacted(personal_data.find(spark.createDataFrame(rows, "doc_id long, text string"), NO_SECRETS))
