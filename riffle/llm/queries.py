@@ -8,7 +8,7 @@ from public_tokenizers import path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.llm import contamination, earlier_copies, heap_merges, language_filters, near_duplicates, personal_data, quality_model, quality_rules, rank_array, repeated_windows
+from riffle.llm import contamination, earlier_copies, fingerprints, heap_merges, language_filters, near_duplicates, personal_data, quality_model, quality_rules, rank_array, repeated_windows
 
 WORDS = "word_bpe_49k.json"
 
@@ -137,3 +137,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in kinds), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(base, personal_data.written("secret")), ",").alias("spans"), F.size("secret").cast("long").alias("n_secret"))
+
+
+@query("op11_document_fingerprints")
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compare_edited(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
