@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from public_tokenizers import path
+from public_tokenizers import PATTERN, path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riffle.llm import contamination, earlier_copies, fingerprints, heap_merges, language_filters, near_duplicates, personal_data, quality_model, quality_rules, rank_array, repeated_windows
+from riffle.llm import contamination, earlier_copies, fingerprints, heap_merges, language_filters, near_duplicates, personal_data, quality_model, quality_rules, rank_array, repeated_windows, spelling_variants, token_alignment
 
 WORDS = "word_bpe_49k.json"
 
@@ -143,3 +143,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.compare_edited(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(spelling_variants.count_words(documents(spark, sf_dir), misspelt=199))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizers = token_alignment.Tokenizers.load(path("byte_bpe_50k.json"), PATTERN, path("piece_bpe_32k.model"))
+    return token_alignment.count_links(documents(spark, sf_dir).select("doc_id", "text"), tokenizers)
