@@ -129,6 +129,96 @@ def to_pieces(beta: np.ndarray, pieces: np.ndarray) -> np.ndarray:
     return out.ravel()
 
 
+def design(pieces: np.ndarray, interval: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Values of the basis at each place: rows, basis functions."""
+    width = pieces.shape[1]
+    values = np.einsum("iwp,ip->iw", pieces[interval], u[:, None] ** np.arange(width))
+    out = np.zeros((len(u), pieces.shape[0] + width - 1))
+    out[np.arange(len(u))[:, None], interval[:, None] + np.arange(width)] = values
+    return out
+
+
+def quantile_fit(b, y, weight, tau: float, penalty, pull, start, steps: int = 80):
+    """Coefficients that minimise the weighted check loss of y - b beta, plus beta' penalty beta / 2, less pull' beta.
+
+    Primal-dual interior points with predictor and corrector (Mehrotra): each residual is a positive part less a negative
+    one, each row has a dual value between its two slopes. ``pull`` is the slope of rows whose side is known. Returns the
+    coefficients, and whether the gap between primal and dual has closed.
+    """
+    m, size = b.shape
+    scale = max(float(np.mean(np.abs(y - b @ start))), 1e-12 * max(float(np.abs(y).max()), 1e-300))
+    unit = float(weight.mean())
+    w, target = weight / unit, (y - b @ start) / scale
+    penalty, pull = penalty * (scale / unit), (pull - penalty @ start) / unit
+    beta, low = np.zeros(size), (1 - tau) * w
+    z, s = low.copy(), tau * w
+    u, v = np.maximum(target, 0) + 1.0, np.maximum(-target, 0) + 1.0
+
+    def longest(*pairs) -> float:
+        return min([1.0, *(float((-0.9995 * x[d < 0] / d[d < 0]).min()) for x, d in pairs if (d < 0).any())])
+
+    settled = None
+    for _ in range(steps):
+        residual = target - b @ beta
+        slope = b.T @ (z - low) + pull - penalty @ beta
+        gap = float(v @ z + u @ s)
+        loss = float(np.sum(w * residual * (tau - (residual < 0))))
+        # What rounding leaves of the slope, which a stiff penalty makes large.
+        noise = 1e-12 * float((np.abs(penalty) @ (np.abs(beta) + np.abs(start) / scale)).max())
+        if gap <= 1e-11 * (1e-3 * m + loss) and np.abs(slope).max() <= 1e-8 * m + noise:
+            return start + scale * beta, True
+        if gap <= 1e-7 * loss and np.abs(slope).max() <= 1e-6 * m + noise:
+            settled = beta  # near enough if rounding stops it here
+        d = 1.0 / (u / s + v / z)
+        h = b.T @ (b * d[:, None]) + penalty
+        h += np.eye(size) * 1e-13 * max(np.trace(h) / size, 1e-300)
+
+        def towards(up, down):
+            xi = residual + down / z - up / s
+            step = np.linalg.solve(h, b.T @ (d * xi) + slope)
+            dz = d * (xi - b @ step)
+            return step, dz, down / z - v - v / z * dz, up / s - u + u / s * dz
+
+        try:
+            step, dz, dv, du = towards(0.0, 0.0)
+            reach = longest((z, dz), (s, -dz), (v, dv), (u, du))
+            left = float((v + reach * dv) @ (z + reach * dz) + (u + reach * du) @ (s - reach * dz))
+            center = gap / (2 * m) * (left / gap) ** 3
+            step, dz, dv, du = towards(center + dz * du, center - dz * dv)
+        except np.linalg.LinAlgError:
+            break
+        reach = longest((z, dz), (s, -dz), (v, dv), (u, du))
+        beta, z, s, v, u = beta + reach * step, z + reach * dz, s - reach * dz, v + reach * dv, u + reach * du
+        if not np.isfinite(beta).all():
+            break
+    return (start, False) if settled is None else (start + scale * settled, True)
+
+
+def rank_score(g, ones, scores, total: float, n: float, tau: float) -> tuple[float, int]:
+    """Rank-score statistic of a constant against a curve, and its degrees of freedom.
+
+    ``g``: Gram matrix of the basis, ``ones`` its sums, ``scores`` its sums times tau less one below the constant.
+    """
+    inner = g - np.outer(ones, ones) / n
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    held = values > 1e-9 * max(float(values.max()), 1e-300)
+    along = vectors[:, held].T @ (scores - ones * total / n)
+    return float(np.sum(along**2 / values[held]) / (tau * (1 - tau))), int(held.sum())
+
+
+def chi_tail(x: float, df: int) -> float:
+    """Upper tail of the chi-squared distribution with a whole number of degrees of freedom."""
+    if not (x >= 0 and df > 0):
+        return math.nan
+    half = x / 2
+    at, tail = (0.5, math.erfc(math.sqrt(half))) if df % 2 else (1.0, math.exp(-half))
+    while at < df / 2 - 0.25:
+        if half > 0:
+            tail += math.exp(at * math.log(half) - half - math.lgamma(at + 1))
+        at += 1
+    return min(tail, 1.0)
+
+
 def normal_tail(z: float) -> float:
     """Two-sided tail of the normal distribution."""
     return math.erfc(abs(z) / math.sqrt(2.0))

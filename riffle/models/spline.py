@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riffle.models import small
-from riffle.operators.joins import join
+from riffle.operators.joins import join, lookup
 from riffle.operators.reshape import stack_rows
 from riffle.session import BROADCAST_ROWS, materialize
 
@@ -27,8 +29,10 @@ CROSS = 4
 GAMMA_STEPS = 60
 # From this step on the smoothness of a Gamma fit is held, so that the fit itself converges.
 HOLD_STEP = 5
-QUANTILE_STEPS = 60
-STRETCH, STRETCHED = 1.9, 16
+# Rounds of a quantile fit, and rows of a model that are solved together.
+QUANTILE_STEPS, BAND = 30, 6_000
+# A sample of fewer rows for each coefficient says too little about where the curve runs.
+ROWS_PER_COEFFICIENT = 200
 
 _ARRAY = T.ArrayType(T.DoubleType())
 FITTED = [
@@ -86,11 +90,11 @@ def _with_models(frame: DataFrame, models: DataFrame, keys: Sequence[str], rows:
     return located.withColumn("u", F.expr(place))
 
 
-def curve_value() -> Column:
+def curve_value(pieces: str = "pieces") -> Column:
     """The fitted curve at u of the interval."""
     return F.expr(
-        "get(pieces, interval * 4) + u * (get(pieces, interval * 4 + 1) + u * (get(pieces, interval * 4 + 2)"
-        " + u * get(pieces, interval * 4 + 3)))"
+        f"get({pieces}, interval * 4) + u * (get({pieces}, interval * 4 + 1) + u * (get({pieces}, interval * 4 + 2)"
+        f" + u * get({pieces}, interval * 4 + 3)))"
     )
 
 
@@ -141,7 +145,7 @@ def _solve_one(row: dict) -> tuple:
     target = None if target is None or np.isnan(target) else min(float(target), len(g) - 1e-6)
     try:
         beta, edf, rss, lam = small.penalised_fit(g, b, small.roughness(pieces, breaks), float(row["zz"]), float(row["n"]), target)
-        beta = small.levelled(beta, g, b, breaks, degree)
+        beta = small.levelled(beta, g, b, breaks, degree) if degree else beta
     except np.linalg.LinAlgError:
         return None, None, None, None, "no_convergence"
     return small.to_pieces(beta, pieces).tolist(), edf, rss, lam, "reduced_k" if row["reduced"] else "ok"
@@ -229,72 +233,173 @@ def fit_gamma(
 
 
 def fit_quantile(
-    frame: DataFrame, keys: Sequence[str], smooths: Sequence[int], quantiles: Sequence[float], steps: int = QUANTILE_STEPS
+    frame: DataFrame, keys: Sequence[str], smooths: Sequence[int], quantiles: Sequence[float], steps: int = QUANTILE_STEPS,
+    band: int = BAND,
 ) -> DataFrame:
-    """Quantile spline per configuration, basis size and quantile.
+    """Quantile spline per configuration, basis size and quantile: the exact minimum of the penalised check loss.
 
-    The check loss is minimised by majorisation (Hunter and Lange 2000): each step is a weighted
-    least-squares fit with weights 1 / (2 (e + |r|)). The smoothness is that of the Gaussian
-    fit with the same basis. Basis size 2 is a straight line.
+    The penalty on curvature is that of the Gaussian fit with the same basis, times the density that normal residuals
+    have at the quantile: near the curve the check loss bends that much, so both have the same freedom. Basis size 2 is a
+    straight line, without penalty.
+
+    A row far from the curve only pulls it, by a slope that depends on its side. So only rows in a band around the curve
+    are solved, by interior points (Portnoy and Koenker 1997); the others are sums per interval. Where the band holds
+    more than ``band`` rows a sample of them is solved, which narrows the band to a fraction. When all of it was solved,
+    the next pass counts the rows outside whose side has changed: without one the curve is optimal, otherwise the band
+    is moved and widened. A configuration of at most ``band`` rows is solved whole at once.
     """
-    base = fit_gaussian(frame, keys, smooths)
+    base = fit_gaussian(frame, keys, sorted({*smooths, 1}))
     most = max(small.intervals_of(k) for k in smooths)
-    keyed = [*keys, "smooth"]
-    model_keys = [*keyed, "quantile"]
-    fitted = base.filter(F.col("pieces").isNotNull())
-    scaled = fitted.withColumns({
-        "target_edf": F.col("edf_total"), "tiny": 1e-3 * F.sqrt(F.greatest(F.col("rss"), F.lit(1e-12)) / F.col("n")),
-    })
-    # Start from the mean curve, moved by the quantile of its residuals.
-    rows = _with_models(frame, fitted.select(*keyed, "breaks", "pieces"), keys, fitted.count(), most)
-    shifts = rows.groupBy(*keyed).agg(
-        F.percentile_approx(F.col("y") - curve_value(), list(quantiles), 1000).alias("shift"),
-        F.percentile_approx("y", list(quantiles), 1000).alias("level"),
-    )
-    per_quantile = F.array(*[
-        F.struct(F.lit(float(q)).alias("quantile"), F.get("shift", F.lit(i)).alias("move"), F.get("level", F.lit(i)).alias("null_value"))
-        for i, q in enumerate(quantiles)
-    ])
-    moved = join(scaled, shifts, keyed).select(*scaled.columns, F.inline(per_quantile)).withColumn(
-        "pieces", F.transform("pieces", lambda c, i: F.when(i % small.WIDTH == 0, c + F.col("move")).otherwise(c))
-    )
-    nothing = F.lit(None).cast("double")
-    start = materialize(moved.drop("move", "edf_total", "rss", "lambda", "status", "family").withColumns({
-        name: nothing for name in ("loss", "below", "null_loss", "sum_r", "sum_rr")}), "quantile")
+    model_keys = [*keys, "smooth", "quantile"]
+    density = [NormalDist().pdf(NormalDist().inv_cdf(q)) for q in quantiles]
+    each = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("quantile"), F.lit(p).alias("density")) for q, p in zip(quantiles, density)])).alias("q")
+    kept = ["df", "breaks", "n", "y_mean", "y_var", "reduced"]
+    spread = F.sqrt(F.greatest(F.col("rss") / F.col("n"), 1e-12 * F.greatest("y_var", F.lit(1e-12))))
+    opened = base.select(*keys, "smooth", *kept, "edf_total", "lambda", "pieces", "status", spread.alias("spread"), each).select("*", "q.*").drop("q")
+    none = lambda kind: F.lit(None).cast(kind)
+    # Equal observations are one point with a weight, so that ties cannot fill a band.
+    points = materialize(frame.groupBy(*keys, "x", "y").agg(F.count("*").cast("double").alias("w")), "points")
+    held = points.groupBy(*keys).agg(F.count("*").alias("n_points"))
+    start = materialize(join(opened.filter("pieces IS NOT NULL"), held, keys).select(
+        *model_keys, *kept, "n_points", "edf_total", (F.col("lambda") * F.col("density") / F.col("spread")).alias("bend"), none(_ARRAY).alias("beta"),
+        none(_ARRAY).alias("pieces"), none("double").alias("half"), F.least(F.lit(1.0), F.greatest(F.lit(band), ROWS_PER_COEFFICIENT * F.col("smooth")) / F.col("n_points")).alias("rate"),
+        none(_ARRAY).alias("before"), none("double").alias("half_before"), F.lit(False).alias("whole"), F.lit(False).alias("converged")), "quantile")
     count = start.count()
-    carried = [*model_keys, "df", "breaks", "n", "y_mean", "y_var", "reduced", "target_edf", "tiny", "null_value",
-               "loss", "below", "null_loss", "sum_r", "sum_rr", "converged"]
 
     def step(active: DataFrame, i: int) -> DataFrame:
-        # Weights start blunt and sharpen, which takes fewer steps than sharp weights throughout.
-        blunt = float(max(100 * 0.4**i, 1.0))
-        rows = _with_models(frame, active.select(*model_keys, "breaks", "pieces", "tiny", "null_value"), keys, count, most)
-        rows = rows.withColumn("gap", F.col("y") - curve_value()).withColumn(
-            "weight", F.expr(f"0.5d / ({blunt}d * tiny + abs(gap))"))
-        stats = _aggregate(rows, model_keys, "weight", "weight * y + (quantile - 0.5d)", {
-            "zz": "weight * y * y", "new_loss": "gap * (quantile - if(gap < 0, 1d, 0d))", "new_below": "if(gap < 0, 1d, 0d)",
-            "new_null": "(y - null_value) * (quantile - if(y < null_value, 1d, 0d))", "new_r": "gap", "new_rr": "gap * gap",
-        })
-        steady = f"coalesce(abs(loss - new_loss) < 3e-5 * (new_loss + 1e-12), false) AND {str(blunt == 1.0).lower()}"
-        new = join(active.withColumnRenamed("pieces", "before"), stats, model_keys).withColumns({
-            "converged": F.expr(steady), "loss": F.col("new_loss"), "below": F.col("new_below"),
-            "null_loss": F.col("new_null"), "sum_r": F.col("new_r"), "sum_rr": F.col("new_rr"),
-        })
-        if i % 2 and i < STRETCHED:
-            return _solve(new, carried)
-        # Majorisation steps are short: every other one is stretched, unless it is the last. A model that still
-        # swings to and fro after that takes half steps.
-        factor = STRETCH if i < STRETCHED else 0.5
-        longer = f"if(converged OR pieces IS NULL, pieces, zip_with(before, pieces, (a, b) -> a + {factor}d * (b - a)))"
-        return _solve(new, [*carried, "before"]).withColumn("pieces", F.expr(longer)).drop("before")
+        drawn = F.pmod(F.xxhash64("x", "y", F.lit(i)), F.lit(1 << 30)) < F.col("rate") * (1 << 30)
+        source = points
+        if i == 0:  # no curve yet: only a sample is looked at
+            rates = active.groupBy(*keys).agg(F.max("rate").alias("rate"))
+            source = lookup(points, rates, keys, count).where((F.col("rate") >= 1) | drawn).select(*points.columns)
+        rows = _with_models(source, active.select(*model_keys, "breaks", "pieces", "half", "rate", "before", "half_before"), keys, count, most)
+        rows = rows.withColumns({"gap": F.col("y") - curve_value(), "gap_before": F.col("y") - curve_value("before")})
+        rows = rows.withColumns({
+            "inside": F.expr("coalesce(abs(gap) <= half, true)"),
+            "lost": F.expr("coalesce(abs(gap_before) > half_before AND signum(gap_before) * signum(gap) < 0, false)")})
+        slope, u = F.expr("if(inside, 0d, w * (quantile - if(gap < 0, 1d, 0d)))"), F.col("u")
+        group = [*model_keys, "interval"]
+        sums = rows.groupBy(*group).agg(
+            F.array(*[F.sum(slope * p) for p in (F.lit(1.0), u, u * u, u * u * u)]).alias("t"), F.count_if("inside").alias("n_inside"), F.count_if("lost").alias("n_lost"))
+        # What is collected is the band, or a sample of it.
+        taken = rows.where(F.col("inside") & ((F.col("rate") >= 1) | drawn)).groupBy(*group).agg(F.collect_list(F.struct("u", "y", "w")).alias("taken"))
+        stats = join(sums, taken, group, "left").groupBy(*model_keys).agg(
+            F.collect_list(F.struct("interval", "t", "taken")).alias("stats"), F.sum("n_inside").alias("n_inside"), F.sum("n_lost").alias("n_lost"))
+        return _solve_bands(join(active, stats, model_keys), model_keys, band)
 
     done = _iterate(start, step, steps, "quantile")
-    failed = base.filter(F.col("pieces").isNull()).select(
-        *keyed, "df", "breaks", "n", "y_mean", "y_var", "reduced", "status",
-        F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("quantile"))
-    return materialize(
-        done.drop("target_edf", "tiny").unionByName(failed, allowMissingColumns=True).withColumn("family", F.lit("quantile")),
-        "quantile")
+    settled = F.when(F.col("pieces").isNull(), "no_convergence").when(F.col("reduced"), "reduced_k").otherwise("ok")
+    curves = materialize(done.withColumn("status", settled).select(
+        *model_keys, *kept, "edf_total", "pieces", "status"), "curves")
+    flat = curves.filter("smooth = 1").select(*keys, "quantile", F.get("pieces", F.lit(0)).alias("null_value"))
+    curves = join(curves if 1 in smooths else curves.filter("smooth <> 1"), flat, [*keys, "quantile"], "left")
+    rows = _with_models(points, curves.filter("pieces IS NOT NULL").select(*model_keys, "breaks", "pieces", "null_value"), keys, count, most)
+    rows = rows.withColumn("gap", F.col("y") - curve_value()).withColumn("slack", F.expr("1e-9 * (abs(y) + 1e-3)"))
+    score = "w * (quantile - if(y < null_value - slack, 1d, 0d))"
+    total = _aggregate(rows, model_keys, "w", score, {
+        # A curve runs through rows of the data; rounding does not put them below it.
+        "loss": "w * gap * (quantile - if(gap < 0, 1d, 0d))", "below": "if(gap < -slack, w, 0d)", "on_curve": "if(abs(gap) <= slack, w, 0d)",
+        "null_loss": "w * (y - null_value) * (quantile - if(y < null_value, 1d, 0d))", "sum_r": "w * gap", "sum_rr": "w * gap * gap", "scores": score})
+    tested = _rank_scores(join(curves, total, model_keys, "left"))
+    failed = opened.filter("pieces IS NULL").select(*model_keys, *kept, "status")
+    failed = failed if 1 in smooths else failed.filter("smooth <> 1")
+    return materialize(tested.unionByName(failed, allowMissingColumns=True).withColumn("family", F.lit("quantile")), "quantile")
+
+
+def _solve_bands(models: DataFrame, model_keys: Sequence[str], band: int) -> DataFrame:
+    """Solve each model on the rows of its band; what it hands on is the state of the next round."""
+    schema = T.StructType([f for f in models.schema if f.name not in ("stats", "n_inside", "n_lost")])
+    state = ["beta", "pieces", "half", "rate", "before", "half_before", "whole", "converged"]
+    same = [f.name for f in schema if f.name not in state]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_solve_band(batch, i, band) for i in range(len(batch))]
+            new = {c: pa.array([o[c] for o in out], batch.schema.field(c).type) for c in state}
+            yield pa.RecordBatch.from_arrays([new[f.name] if f.name in state else batch.column(f.name) for f in schema], [f.name for f in schema])
+
+    return models.select(*same, *state, "stats", "n_inside", "n_lost").mapInArrow(run, schema)
+
+
+def _solve_band(batch: pa.RecordBatch, i: int, band: int) -> dict:
+    value = lambda c: batch.column(c)[i].as_py()
+    now = {c: value(c) for c in ("beta", "pieces", "half", "rate", "before", "half_before", "whole", "converged")}
+    if now["whole"] and value("n_lost") == 0:
+        return now | {"converged": True}
+    breaks, tau = np.asarray(value("breaks")), value("quantile")
+    pieces = small.basis_pieces(breaks, small.degree_of(int(value("smooth"))))
+    width, size = pieces.shape[1], pieces.shape[0] + pieces.shape[1] - 1
+    band = max(band, ROWS_PER_COEFFICIENT * size)
+    pull, intervals, points = np.zeros(size), [], []
+    for m, t, *found in _stats(batch.column("stats")[i]):
+        pull[m:m + width] += pieces[m] @ t[:width]
+        intervals.append(np.full(len(found[0]), m))
+        points.append(found)
+    interval, (u, y, weight) = np.concatenate(intervals), (np.concatenate(x) for x in zip(*points))
+    half = now["half"]
+    inside = value("n_points") if half is None else value("n_inside")
+    wider = now | {"half": None if half is None else 2 * half, "whole": False}
+    if len(y) < size:
+        # Fewer rows than coefficients: a wider band; if there are no more, the penalty alone decides the rest.
+        if half is not None and inside < value("n_points"):
+            return wider
+    b = small.design(pieces, interval, u)
+    penalty = value("bend") * small.roughness(pieces, breaks)
+    penalty = penalty + np.eye(size) * 1e-12 * max(len(y) / size, 1.0)
+    start = np.asarray(now["beta"]) if now["beta"] is not None else np.linalg.lstsq(b, y, rcond=None)[0]
+    weight = weight * (inside / max(len(y), 1))
+    beta, closed = small.quantile_fit(b, y, weight, tau, penalty, pull, start)
+    # A curve that leaves its band has left the rows whose side was taken for granted: a wider band, and more rows of it.
+    if half is not None and not (closed and np.abs(b @ (beta - start)).max() <= 2 * half):
+        return wider
+    if not closed and now["rate"] >= 1:
+        return now | {"pieces": None}
+    curve = small.to_pieces(beta, pieces).tolist()
+    new = now | {"beta": beta.tolist(), "pieces": curve, "before": now["pieces"], "half_before": half}
+    if now["rate"] >= 1:
+        # The whole band was solved. Without rows outside it that is the end; else the next pass looks at those, and a
+        # band that turned out too narrow grows until it is not.
+        return new | {"whole": True, "converged": half is None, "half": half if half is None or not now["whole"] else 1.5 * half}
+    following = max(0.7 * band, min(0.8, 6 * math.sqrt(size / len(y))) * inside)
+    near = float(np.quantile(np.abs(y - b @ beta), min(1.0, following / inside)))
+    return new | {"half": max(near, 1e-12 * float(np.abs(y).max())), "rate": min(1.0, band / following), "whole": False}
+
+
+def _stats(column: pa.Scalar) -> Iterator[tuple]:
+    """(interval, sums, places, values, weights) of each interval of a model."""
+    held = column.values
+    for k in range(len(held)):
+        taken = held.field("taken")[k].values
+        if taken is None:
+            taken = held.field("taken").values.slice(0, 0)
+        yield (held.field("interval")[k].as_py(), np.asarray(held.field("t")[k].values), *(taken.field(c).to_numpy(zero_copy_only=False) for c in ("u", "y", "w")))
+
+
+def _rank_scores(models: DataFrame) -> DataFrame:
+    """Adds the rank-score statistic of each quantile curve against the constant at its level (Gutenbrunner et al. 1993)."""
+    kept = [c for c in models.columns if c != "stats"]
+    schema = T.StructType([models.schema[c] for c in kept] + [T.StructField("chi", T.DoubleType()), T.StructField("chi_df", T.DoubleType())])
+
+    def tested(row: dict) -> tuple:
+        if row["stats"] is None or row["null_value"] is None:
+            return None, None
+        breaks = np.asarray(row["breaks"], dtype=float)
+        pieces = small.basis_pieces(breaks, small.degree_of(int(row["smooth"])))
+        moments = {int(s["interval"]): np.asarray(s["s"], dtype=float) for s in row["stats"]}
+        cross = {int(s["interval"]): np.asarray(s["t"], dtype=float) for s in row["stats"]}
+        g, scores = small.gram(pieces, moments, cross)
+        ones = np.zeros(len(g))
+        for m, s in moments.items():
+            ones[m:m + pieces.shape[1]] += pieces[m] @ s[:pieces.shape[1]]
+        chi, df = small.rank_score(g, ones, scores, float(row["scores"]), float(row["n"]), float(row["quantile"]))
+        return (chi, float(df)) if df else (None, None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = pd.DataFrame([tested(row) for row in batch.to_dict("records")], columns=["chi", "chi_df"], index=batch.index, dtype=float)
+            yield pd.concat([batch[kept], found], axis=1)
+
+    return models.mapInPandas(run, schema).drop("scores")
 
 
 # ---- results -----------------------------------------------------------------------------
@@ -302,18 +407,19 @@ def fit_quantile(
 def summarize(models: DataFrame) -> DataFrame:
     """AIC, EDF of the smooth, p-value, R2 and deviance explained; NULL where the fit failed.
 
-    p-values are F tests on the effective degrees of freedom: approximate, as for any
-    penalised fit. The model tables are small, so this is arithmetic on a few columns.
+    p-values of mean curves are F tests on the effective degrees of freedom: approximate, as for any
+    penalised fit. Those of quantile curves are rank-score tests of a constant against all curves of
+    the basis, which need no density of the residuals. The model tables are small, so this is arithmetic on a few columns.
     """
     n, edf, family = F.col("n").cast("double"), F.col("edf_total"), F.col("family")
     has = lambda name: F.col(name) if name in models.columns else F.lit(None).cast("double")
     nonzero = lambda c: F.nullif(c, F.lit(0.0))
     tss = n * F.col("y_var")
     rss = (
-        F.when(family == "gaussian", F.col("rss")).when(family == "gamma", has("sse"))
+        F.when(family == "gaussian", has("rss")).when(family == "gamma", has("sse"))
         .otherwise(has("sum_rr") - has("sum_r") * has("sum_r") / n)
     )
-    full = F.when(family == "gaussian", F.col("rss")).when(family == "gamma", has("deviance")).otherwise(has("loss"))
+    full = F.when(family == "gaussian", has("rss")).when(family == "gamma", has("deviance")).otherwise(has("loss"))
     null = (
         F.when(family == "gaussian", tss).when(family == "gamma", 2 * n * (F.log("y_mean") - has("y_log")))
         .otherwise(has("null_loss"))
@@ -329,7 +435,10 @@ def summarize(models: DataFrame) -> DataFrame:
         "F": (null - full) / nonzero(edf - 1) / nonzero(full) * (n - edf),
         "R2": 1 - rss / nonzero(n - edf) / nonzero(tss) * (n - 1),
     })
-    return out.withColumn("PValue", f_tail(F.col("F"), F.col("EDF"), n - edf))
+    p = f_tail(F.col("F"), F.col("EDF"), n - edf)
+    if "chi" in models.columns:
+        p = F.when(family == "quantile", chi_tail("chi", "chi_df")).otherwise(p)
+    return out.withColumn("PValue", p)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -342,6 +451,11 @@ def f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series([small.f_tail(a, b, c) for a, b, c in zip(f, df1, df2)], dtype=float)
 
 
+@F.pandas_udf(T.DoubleType())
+def chi_tail(x: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([small.chi_tail(a, int(b)) if b == b else math.nan for a, b in zip(x, df)], dtype=float)
+
+
 def predict(models: DataFrame, points: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
     """Curve value of every model of the configuration at every point (``x``).
 

@@ -9,6 +9,7 @@ from riffle.functions import semantics as S
 from riffle.models import lines, logistic, spline
 from riffle.models.frame import condition, direction, model_frame
 from riffle.operators.curves import class_levels, curve_thresholds, grid_ranges, regular_grid
+from riffle.operators.joins import join, lookup
 from riffle.operators.outcomes import fit_profile
 from riffle.operators.scores import drop_augmented_peaks, flag_augmented_peaks
 from riffle.plans.registry import query
@@ -323,29 +324,71 @@ def md5_freedom(r):
     return models.select(*KEYS, "n", "df", F.round("EDF", 3).alias("EDF"), "status")
 
 
+def on_level():
+    """What an exact minimum of the check loss fulfils whatever the data; a curve without result does not."""
+    level = F.col("quantile") * F.col("n")
+    return F.coalesce((F.col("below") <= level + 1e-6) & (level <= F.col("below") + F.col("on_curve") + 1e-6), F.lit(False))
+
+
 _SHARES = f"""WITH f AS ({_OBSERVED}), n AS (SELECT Metric, flow_metric, count(*) AS n FROM f GROUP BY ALL)
     SELECT Metric, flow_metric, {{columns}} FROM n"""
 
 
 @query("MD9_quantile_shares", _SHARES.format(columns="3 AS smooth, unnest([0.9, 0.5])::double AS quantile, n, true AS on_level"))
 def md9_shares(r):
-    """The share of observations below a quantile curve is its level, within 0.01."""
+    """No more observations lie below a quantile curve than its level asks for, and with those on it no fewer."""
     models = spline.fit_quantile(frame(r), KEYS, [3], C.CHOSEN_QUANTILES)
-    on_level = F.abs(F.col("below") / F.col("n") - F.col("quantile")) <= 0.01
-    return models.select(*KEYS, "smooth", "quantile", "n", on_level.alias("on_level"))
+    return models.select(*KEYS, "smooth", "quantile", "n", on_level().alias("on_level"))
 
 
 @query("MD10_quantile_gain", _SHARES.format(columns="3 AS smooth, unnest([0.9, 0.5])::double AS quantile, n, true AS better"))
 def md10_gain(r):
     """No quantile curve has a larger check loss than the constant at the same level."""
     models = spline.summarize(spline.fit_quantile(frame(r), KEYS, [3], C.CHOSEN_QUANTILES))
-    return models.select(*KEYS, "smooth", "quantile", "n", ((F.col("DevExplained") > -1e-3) & F.col("R2").isNotNull()).alias("better"))
+    return models.select(*KEYS, "smooth", "quantile", "n", ((F.col("DevExplained") > -1e-9) & F.col("R2").isNotNull()).alias("better"))
 
 
 @query("MD12_line_shares", _SHARES.format(columns=f"unnest({C.LINE_QUANTILES})::double AS quantile, n, true AS on_level"))
 def md12_shares(r):
     models = lines.fit_quantile_lines(frame(r), KEYS)
-    return models.select(*KEYS, "quantile", "n", (F.abs(F.col("share_below") - F.col("quantile")) <= 0.01).alias("on_level"))
+    close = F.abs(F.col("share_below") - F.col("quantile")) <= 2 / F.col("n") + 1e-4
+    return models.select(*KEYS, "quantile", "n", F.coalesce(close, F.lit(False)).alias("on_level"))
+
+
+_CONSTANTS = f"""WITH f AS ({_OBSERVED}), l AS (SELECT unnest({{levels}})::double AS quantile),
+    q AS (SELECT Metric, flow_metric, quantile, quantile_disc(y, {{levels}})[i] AS level FROM f, (SELECT unnest(range(1, len({{levels}}) + 1)) AS i, unnest({{levels}})::double AS quantile) l
+      GROUP BY Metric, flow_metric, quantile, i)
+    SELECT Metric, flow_metric, quantile, count(*) AS n, round(sum((y - level) * (quantile - CASE WHEN y < level THEN 1 ELSE 0 END)), 5) AS null_loss
+    FROM f JOIN q USING (Metric, flow_metric) GROUP BY Metric, flow_metric, quantile"""
+
+
+@query("MD10_constant_loss", _CONSTANTS.format(levels=C.QUANTILES))
+def md10_constants(r):
+    """Check loss of the best constant of each configuration and quantile, against which a curve is judged."""
+    models = spline.fit_quantile(frame(r), KEYS, [1], C.QUANTILES)
+    return models.select(*KEYS, "quantile", "n", F.round("loss", 5).alias("null_loss"))
+
+
+_LINE_CHECK = f"""WITH f AS ({_OBSERVED}), n AS (SELECT Metric, flow_metric, count(*) AS n, avg(x) AS mx, stddev_pop(x) AS sx FROM f GROUP BY ALL)
+    SELECT Metric, flow_metric, unnest({C.LINE_QUANTILES})::double AS quantile, n, 0::bigint AS better_lines FROM n"""
+
+
+@query("MD12_line_optimum", _LINE_CHECK)
+def md12_optimum(r):
+    """Lines next to the fitted one, turned and moved by small and large steps, that have a smaller check loss: none."""
+    rows = frame(r)
+    models = lines.fit_quantile_lines(rows, KEYS)
+    moves = [(a * s, b * s) for s in (1e-5, 1e-3, 0.05, 1.0) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, 1), (1, -1), (-1, -1))]
+    size = rows.groupBy(*KEYS).agg(F.avg("x").alias("mx"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    near = F.col("y") - F.col("intercept") - F.col("slope") * F.col("x")
+
+    def loss(a: float, b: float):
+        gap = near - a * F.col("sy") - b * F.col("sy") * (F.col("x") - F.col("mx")) / F.col("sx")
+        return F.sum(gap * (F.col("quantile") - F.when(gap < 0, 1.0).otherwise(0.0)))
+
+    placed = lookup(rows, join(models.select(*KEYS, "quantile", "slope", "intercept"), size, KEYS), KEYS, rows=models.count())
+    tried = placed.groupBy(*KEYS, "quantile").agg(F.count("*").alias("n"), loss(0, 0).alias("own"), F.array(*[loss(a, b) for a, b in moves]).alias("others"))
+    return tried.select(*KEYS, "quantile", "n", F.size(F.filter("others", lambda x: x < F.col("own") * (1 - 1e-6))).cast("long").alias("better_lines"))
 
 
 def grid_size(tagged):
@@ -391,12 +434,11 @@ def md4_grid(r):
 @query("MD9_quantile_grid", f"""WITH f AS ({_OBSERVED}), n AS (SELECT Metric, flow_metric, count(*) AS n FROM f GROUP BY ALL)
     SELECT Metric, flow_metric, smooth, quantile, n, true AS fitted, true AS on_level, true AS better FROM n, {_EACH_CURVE}""")
 def md9_grid(r):
-    """All 28 curves of a configuration: settled, on their level within 0.01, and no worse than the constant."""
+    """All 28 curves of a configuration: settled, on their level, and no worse than the best constant."""
     models = spline.summarize(spline.fit_quantile(frame(r), KEYS, SMOOTHS, QUANTILES))
     return models.select(
         *KEYS, "smooth", "quantile", "n", F.col("status").isin("ok", "reduced_k").alias("fitted"),
-        (F.abs(F.col("below") / F.col("n") - F.col("quantile")) <= 0.01).alias("on_level"),
-        ((F.col("DevExplained") > -1e-3) & F.col("R2").isNotNull()).alias("better"))
+        on_level().alias("on_level"), ((F.col("DevExplained") > -1e-9) & F.col("R2").isNotNull()).alias("better"))
 
 
 @query("MD11_range_grid", f"""WITH f AS ({_OBSERVED}), s AS (SELECT Metric, flow_metric, min(x) AS lo, max(x) AS hi, abs(avg(x) / 500) AS step FROM f GROUP BY ALL)

@@ -83,7 +83,7 @@ def test_prediction_uses_every_interval(spark, wave):
 
 def test_unsettled_curve_is_no_result(spark, wave):
     x, y = wave
-    row = spline.fit_quantile(table(spark, [("a", x, y)]), ["g"], [6], [0.9], steps=1).first()
+    row = spline.fit_quantile(table(spark, [("a", x, y)]), ["g"], [6], [0.9], steps=0).first()
     assert row.status == "no_convergence" and row.pieces is None
 
 
@@ -138,6 +138,47 @@ def test_quantiles_split_the_residuals(spark, wave):
             assert loss <= np.sum(other * (q - (other < 0))) * 1.001
 
 
+def test_narrow_bands_find_the_same_optimum(spark):
+    """Rows solved in a band that narrows round by round, the others as sums: the loss is that of all rows at once."""
+    rng = np.random.default_rng(9)
+    x = rng.uniform(-3, 3, 6000)
+    frame = table(spark, [("a", x, np.sin(x) + rng.standard_t(3, 6000)), ("ties", np.round(x), np.round(rng.normal(0, 2, 6000)))])
+    asked = (["g"], [2, 9], [0.99, 0.5, 0.1])
+    narrow, whole = (spline.fit_quantile(frame, *asked, band=b).toPandas().sort_values(["g", "smooth", "quantile"]) for b in (300, 10_000))
+    assert set(narrow.status) <= {"ok", "reduced_k"} and len(narrow) == 12
+    assert np.allclose(narrow.loss, whole.loss, rtol=1e-6)
+    for m in (narrow, whole):
+        assert (m.below <= m["quantile"] * m.n + 1e-6).all() and (m.below + m.on_curve >= m["quantile"] * m.n - 1e-6).all()
+
+
+@pytest.mark.parametrize("tau", [0.1, 0.5, 0.9])
+def test_quantile_line_against_all_pairs(tau):
+    """An optimal line runs through two of the points."""
+    rng = np.random.default_rng(3)
+    x, y = rng.uniform(-2, 2, 50), rng.normal(0, 1, 50)
+    b = np.column_stack([np.ones(50), x])
+    loss = lambda beta: float(np.sum((r := y - b @ beta) * (tau - (r < 0))))
+    best = min(loss(np.linalg.solve(b[[i, j]], y[[i, j]])) for i in range(50) for j in range(i))
+    beta, closed = small.quantile_fit(b, y, np.ones(50), tau, np.zeros((2, 2)), np.zeros(2), np.zeros(2))
+    assert closed and loss(beta) == pytest.approx(best, rel=1e-9)
+
+
+def test_rank_scores_keep_their_level(spark):
+    """Of constant data one curve in ten is significant at 0.1; a wave is always."""
+    rng = np.random.default_rng(12)
+    x = rng.uniform(0, 1, 150)
+    frame = table(spark, [(f"g{i}", x, rng.normal(0, 1, 150)) for i in range(200)] + [("wave", x, np.sin(7 * x) + rng.normal(0, 0.2, 150))])
+    p = spline.summarize(spline.fit_quantile(frame, ["g"], [6], [0.7])).select("g", "PValue").toPandas().set_index("g").PValue
+    assert p.pop("wave") < 1e-6 and 0.04 < (p < 0.1).mean() < 0.17 and 0.4 < p.mean() < 0.6
+
+
+def test_chi_tail():
+    assert small.chi_tail(3.841458820694124, 1) == pytest.approx(0.05, rel=1e-9)
+    assert small.chi_tail(11.070497693516351, 5) == pytest.approx(0.05, rel=1e-9)
+    assert small.chi_tail(9.487729036781154, 4) == pytest.approx(0.05, rel=1e-9)
+    assert math.isnan(small.chi_tail(float("nan"), 2))
+
+
 def test_gamma(spark):
     rng = np.random.default_rng(8)
     x = rng.uniform(0, 4, 800)
