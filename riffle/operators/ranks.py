@@ -90,3 +90,27 @@ def box_summary(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
         F.sum(F.when(inner, 0).otherwise(F.col("c"))).alias("n_outliers"),
         F.sum("c").alias("n"),
     )
+
+
+def discrete_quantiles(df: DataFrame, keys: Sequence[str], x: str, quantiles: Sequence[float]) -> DataFrame:
+    """(keys, ``Quantile``, ``x``): the smallest value that at least the given share of a group does not exceed.
+
+    Exact: equal values are counted first, then ranked in stretches, so no task holds a group. Missing values are left
+    out; a group without values has no rows.
+    """
+    keys = list(keys)
+    counted = df.filter(F.col(x).isNotNull() & ~F.isnan(x)).groupBy(*keys, F.col(x).alias("x")).agg(F.count("*").alias("rows"))
+    cut = stretches(counted, keys, ["x"], "quantiles")
+    every = Window.partitionBy(*keys)
+    before = F.sum("rows").over(every.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    # One row for each stretch of a group.
+    offsets = cut.groupBy(*keys, "stretch").agg(F.sum("rows").alias("rows")).select(
+        *keys, "stretch", F.coalesce(before, F.lit(0)).alias("offset"), F.sum("rows").over(every).alias("total"))
+    upto = F.col("offset") + F.sum("rows").over(Window.partitionBy(*keys, "stretch").orderBy("x"))
+    ranked = join(cut, offsets, [*keys, "stretch"]).select(*keys, "x", "total", upto.alias("upto"))
+
+    def value(q: float):
+        asked = F.greatest(F.col("total") - F.floor(F.col("total") - F.lit(float(q)) * F.col("total")), F.lit(1))
+        return F.struct(F.lit(float(q)).alias("Quantile"), F.min(F.when(F.col("upto") >= asked, F.col("x"))).alias("x"))
+
+    return ranked.groupBy(*keys).agg(F.array(*[value(q) for q in quantiles]).alias("found")).select(*keys, F.inline("found"))
