@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
 from itertools import accumulate
@@ -54,7 +54,7 @@ class Tokenizers:
 
 
 class Aligner:
-    """Both tokenizers in a task. ``tokens`` gives both ids lists and ends; ``slices`` cuts them."""
+    """Both tokenizers in a task. ``tokens`` gives both ids lists, ``cuts`` where groups end in them, ``written`` their text."""
 
     def __init__(self, held: Tokenizers) -> None:
         first = tiktoken.Encoding("first", pat_str=held.pattern, mergeable_ranks=held.ranks, special_tokens={})
@@ -65,7 +65,9 @@ class Aligner:
             self.bytes_a[i] = token
         names = [second.id_to_piece(i) for i in range(second.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if second.is_byte(i) else x.replace(SPACE_MARK, " ").encode() for i, x in enumerate(names)]
-        self.written_a, self.written_b = list(map(str, range(len(self.bytes_a)))), list(map(str, range(len(self.bytes_b))))
+        self.lengths_a, self.lengths_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        # Each id as the last of its group and as another one; those of the second tokenizer follow.
+        self.names = [f"{i}{mark}" for size, marks in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for i in range(size) for mark in marks]
 
     def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
         """Ids of both for a space and the text; none if it is null or empty, or if the bytes of either are other ones."""
@@ -75,27 +77,34 @@ class Aligner:
         same = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
         return (a, b) if same else ([], [])
 
-    def slices(self, a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-        """(begin, end in ``a``, begin, end in ``b``) of the groups: tokens between two places where both have an end.
+    def cuts(self, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Borders of the groups in both lists, from 0 on: between two of them both have the same bytes.
 
         The ends of each side are keys of a dictionary that leads to the index behind the token; the keys that both
         have, in their order, are the cuts. Long lists are taken piece by piece, each up to its last common end.
         """
-        i = j = at_a = at_b = 0
-        most = TOGETHER
+        i = j = at = 0
+        most, cut_a, cut_b = TOGETHER, [0], [0]
         while i < len(a):
-            ends_a = dict(zip(accumulate(map(len, map(self.bytes_a.__getitem__, a[i:i + most])), initial=at_a), range(i, i + most + 1)))
-            ends_b = dict(zip(accumulate(map(len, map(self.bytes_b.__getitem__, b[j:j + 2 * most])), initial=at_b), range(j, j + 2 * most + 1)))
+            ends_a = dict(zip(accumulate(map(self.lengths_a.__getitem__, a[i:i + most]), initial=at), range(i, i + most + 1)))
+            ends_b = dict(zip(accumulate(map(self.lengths_b.__getitem__, b[j:j + 2 * most]), initial=at), range(j, j + 2 * most + 1)))
             common = sorted(ends_a.keys() & ends_b.keys())
-            if len(common) == 1 and most < len(a) + len(b):
+            if len(common) == 1:  # at the end of the lists both have one
                 most *= 2
                 continue
-            for end in common[1:]:
-                k, n = ends_a[end], ends_b[end]
-                yield i, k, j, n
-                i, j = k, n
-            at_a = at_b = common[-1]
-            most = TOGETHER
+            cut_a += map(ends_a.__getitem__, common[1:])
+            cut_b += map(ends_b.__getitem__, common[1:])
+            i, j, at, most = cut_a[-1], cut_b[-1], common[-1], TOGETHER
+        return np.array(cut_a), np.array(cut_b)
+
+    def written(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
+        """Groups as ``a1,a2|b1;a3|b2,b3``: each token goes behind those of the other side in groups before (or in its own)."""
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[cut_a[1:] - 1] = last_b[cut_b[1:] - 1] = 1
+        names = np.empty(len(a) + len(b), np.int64)
+        names[np.arange(len(a)) + np.repeat(cut_b[:-1], np.diff(cut_a))] = 2 * a + last_a
+        names[np.arange(len(b)) + np.repeat(cut_a[1:], np.diff(cut_b))] = 2 * (b + len(self.bytes_a)) + last_b
+        return "".join(map(self.names.__getitem__, names.tolist()))[:-1]
 
 
 def align(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
@@ -113,8 +122,8 @@ def align(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
             out = []
             for text in batch.column("text"):
                 a, b = aligner.tokens(text.as_py())
-                cuts = list(aligner.slices(a, b))
-                out.append((a, b, [x[1] for x in cuts], [x[3] for x in cuts]))
+                cut_a, cut_b = aligner.cuts(a, b)
+                out.append((a, b, cut_a[1:], cut_b[1:]))
             lists = [pa.array([x[c] for x in out], pa.list_(pa.int32())) for c in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "a", "b", "cut_a", "cut_b"])
 
@@ -122,27 +131,30 @@ def align(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, a array<int>, b array<int>, cut_a array<int>, cut_b array<int>")
 
 
-def links_of(a: list[int], b: list[int], slices: Iterator[tuple[int, int, int, int]], written: Callable[[list[int], list[int]], None]) -> tuple[np.ndarray, np.ndarray]:
-    """Different linked id pairs (first id in the upper half) and how often each is linked; every group goes to ``written``.
+def links_of(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different linked id pairs (first id in the upper half) and how often each is linked.
 
     All tokens of a group are linked with each other. A large group is expanded over its different ids.
     """
-    one, several = [], Counter()
-    for i, k, j, n in slices:
-        ids_a, ids_b = a[i:k], b[j:n]
-        written(ids_a, ids_b)
-        if len(ids_a) * len(ids_b) <= ONE_BY_ONE:
-            one += [x << 32 | y for x in ids_a for y in ids_b]
-        else:
-            of_b = Counter(ids_b).items()
-            for x, times in Counter(ids_a).items():
-                for y, more in of_b:
-                    several[x << 32 | y] += times * more
-    pairs, times = np.unique(np.array(one, np.int64), return_counts=True)
+    size_a, size_b = np.diff(cut_a), np.diff(cut_b)
+    large = size_a * size_b > ONE_BY_ONE
+    several: Counter[int] = Counter()
+    for i, k, j, n in zip(cut_a[:-1][large], cut_a[1:][large], cut_b[:-1][large], cut_b[1:][large]):
+        of_b = Counter(b[j:n].tolist()).items()
+        for x, times in Counter(a[i:k].tolist()).items():
+            for y, more in of_b:
+                several[x << 32 | y] += times * more
+    of_a, of_b, wide = cut_a[:-1][~large], cut_b[:-1][~large], size_b[~large]
+    links = size_a[~large] * wide
+    group = np.repeat(np.arange(len(links)), links)
+    inside = np.arange(len(group)) - np.repeat(np.cumsum(links) - links, links)
+    down, across = np.divmod(inside, wide[group])
+    pairs, times = np.unique(a[of_a[group] + down] << 32 | b[of_b[group] + across], return_counts=True)
     if several:
         every, at = np.unique(np.concatenate([pairs, np.fromiter(several.keys(), np.int64)]), return_inverse=True)
-        times = np.bincount(at, np.concatenate([times, np.fromiter(several.values(), np.int64)])).astype(np.int64)
-        pairs = every
+        total = np.zeros(len(every), np.int64)
+        np.add.at(total, at, np.concatenate([times, np.fromiter(several.values(), np.int64)]))
+        return every, total
     return pairs, times
 
 
@@ -183,21 +195,15 @@ def count_links(docs: DataFrame, tokenizers: Tokenizers) -> DataFrame:
 
     def blocks(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, task = Aligner(held.value), TaskContext.get().partitionId()
-        name_a, name_b = aligner.written_a.__getitem__, aligner.written_b.__getitem__
         for number, batch in enumerate(x for x in parts(found) if len(x)):
             rows, shas, pairs, times = [], [], [], []
             for text in batch.column("text"):
-                a, b = aligner.tokens(text.as_py())
-                digest, groups = sha256(), []
-
-                def written(ids_a: list[int], ids_b: list[int]) -> None:
-                    groups.append(name_a(ids_a[0]) + "|" + name_b(ids_b[0]) if len(ids_a) == len(ids_b) == 1 else
-                                  ",".join(map(name_a, ids_a)) + "|" + ",".join(map(name_b, ids_b)))
-
-                mine, often = links_of(a, b, aligner.slices(a, b), written)
-                digest.update(";".join(groups).encode())
-                rows.append((len(a), len(b), len(groups), int(often.sum()), len(mine)))
-                shas.append(digest.hexdigest() if a else "")
+                lists = aligner.tokens(text.as_py())
+                cuts = aligner.cuts(*lists)
+                a, b = (np.array(x, np.int64) for x in lists)
+                mine, often = links_of(a, b, *cuts)
+                rows.append((len(a), len(b), len(cuts[0]) - 1, int(often.sum()), len(mine)))
+                shas.append(sha256(aligner.written(a, b, *cuts).encode()).hexdigest() if len(a) else "")
                 pairs.append(mine)
                 times.append(often)
             every = np.concatenate(pairs)
