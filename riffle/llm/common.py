@@ -141,10 +141,15 @@ def words(texts: Texts, table: np.ndarray = BYTES, space: np.ndarray = SPACE) ->
     begin = np.flatnonzero(inside & (~before | edge[:n]))
     after = np.concatenate([inside[1:], [False]])
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    # Each byte is mixed with its place in the word before the sum: unlike in a polynomial modulo 2 ** 64, no pattern of
+    # two letters cancels out.
+    at = np.arange(n)
+    opened = np.zeros(n, np.int64)
+    opened[begin] = begin
+    place = (at - np.maximum.accumulate(opened)).astype(U)
     total = np.zeros(n + 1, U)
-    np.cumsum(table[data] * powers(int(BASE), n), out=total[1:])
-    back = powers(pow(int(BASE), -1, 1 << 64), n)
-    hashes = spread((total[end] - total[begin]) * back[begin] + (end - begin).astype(U))
+    np.cumsum(spread(table[data] + place * BASE), out=total[1:])
+    hashes = spread(total[end] - total[begin] + (end - begin).astype(U))
     return Words(begin, end, hashes, np.searchsorted(begin, texts.starts))
 
 

@@ -1,7 +1,7 @@
 import pyarrow as pa
 import pytest
 
-from riffle.llm import common
+from riffle.llm import common, near_duplicates, repeated_windows
 
 TEXTS = ["one two", None, "", "é" * 30, "x" * 100, "y", None, "last words here"]
 
@@ -32,3 +32,22 @@ def test_words_do_not_cross_rows():
     assert found.starts.tolist() == [0, 1, 3, 3, 4]
     same = common.words(next(common.steps(pa.array(["ab cd", "cd ab"]))))
     assert same.hash.tolist() == same.hash[[3, 2, 1, 0]].tolist()
+
+
+def two_alike():
+    """Two words of 1,024 letters that every polynomial hash with an odd base modulo 2 ** 64 takes for one."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_different_words_have_different_hashes(spark):
+    a, b = two_alike()
+    found = common.words(next(common.steps(pa.array([f"{a} {b} x{a}", a]))))
+    assert len(set(found.hash.tolist())) == 3 and found.hash[0] == found.hash[3]
+    docs = spark.createDataFrame([(1, f"one two {a} four"), (2, f"one two {b} four")], "doc_id long, text string")
+    assert all(r.kept for r in near_duplicates.label_near_duplicates(docs, size=5, percent=85).collect())
+    same = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"{same} {a} {same}"), (2, f"{same} {b} {same}")], "doc_id long, text string")
+    assert all(r.n_removed == 0 for r in repeated_windows.remove_repeated(docs, window=35).collect())
