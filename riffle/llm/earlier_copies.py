@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,13 +11,39 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riffle.llm.common import BYTES, STEP_BYTES, anchors, covered, doubled, grams, keyed, list_slices, pair, parts, places, ranges, signed, spread, steps
+from riffle.llm.common import BYTES, STEP_BYTES, U, Anchors, Texts, anchors, covered, doubled, keep_small, keyed, list_slices, pair, parts, places, ranges, signed, steps
 from riffle.llm.repeats import NOTHING, anchor_table, apart, chosen, estimated_repeated, listed
 from riffle.llm.run_index import RunIndex
 from riffle.session import materialize
 
-#: Bytes of an anchor, segments of one anchor that one index takes, and bytes of segments in an index.
-GRAM, INDEX_SEGMENTS, INDEX_BYTES = 20, 8_000, 1 << 20
+#: Bytes of an anchor; where it has too many segments, of the longer ones that split it. A window closes the list.
+GRAMS = (20, 40, 70)
+#: Segments of one anchor that one index takes, and bytes of segments in an index.
+INDEX_SEGMENTS, INDEX_BYTES = 8_000, 1 << 18
+#: Bytes that are hashed together: few enough to stay in the cache of a core.
+PIECE = 1 << 16
+
+
+def found_anchors(texts: Texts, window: int, gram: int) -> Anchors:
+    """Anchors of all windows of ``texts``, in overlapping pieces, so that a long text needs no long arrays.
+
+    An anchor whose windows lie in two pieces comes once for each.
+    """
+    keep_small()
+    out = []
+    for first in range(0, max(len(texts.data), 1), PIECE):
+        end = min(first + PIECE + window - 1, len(texts.data))
+        got = anchors(doubled(BYTES[texts.data[first:end]], gram), np.clip(texts.starts, first, end) - first, window, gram)
+        out.append(Anchors(got.hash, got.begin + first, got.end + first, got.row))
+    return out[0] if len(out) == 1 else Anchors(*(np.concatenate([getattr(x, c) for x in out]) for c in ("hash", "begin", "end", "row")))
+
+
+def segments_of(texts: Texts, got: Anchors, window: int) -> pa.Array:
+    """The bytes that the windows of each anchor cover."""
+    size = got.end - got.begin + window - 1
+    cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    held = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(cut), pa.py_buffer(texts.data[places(got.begin, got.begin + size)])])
+    return held.cast(pa.binary())
 
 
 def remove_earlier(docs: DataFrame, window: int = 100) -> DataFrame:
@@ -32,14 +59,16 @@ def remove_earlier(docs: DataFrame, window: int = 100) -> DataFrame:
     table gives an empty result.
 
     Anchors find the segments that may repeat. Equal segments are one row, with their first place. The segments of
-    an anchor meet in one run-length index, whose matching statistics tell which windows occur first; if an anchor
-    has more than ``INDEX_SEGMENTS`` different segments, its windows are grouped by two 64-bit hashes instead.
+    an anchor meet in one run-length index, whose matching statistics tell which windows occur first. If an anchor
+    has more than ``INDEX_SEGMENTS`` different segments, these are cut by the longer anchors in them, step by step
+    up to anchors as long as a window, and indexed under those: equal windows have equal anchors of every length.
+    A very long text is hashed in pieces.
     Only first windows are sent back: the other windows of a repeated anchor are the ones to remove.
     """
-    rows, gram = keyed(docs), min(GRAM, window)
+    rows, sizes = keyed(docs), sorted({min(gram, window) for gram in (*GRAMS, window)})
 
     def found(texts):
-        return anchors(doubled(BYTES[texts.data], window), texts.starts, window, gram)
+        return found_anchors(texts, window, sizes[0])
 
     hot = listed(estimated_repeated(anchor_table(rows, found)), "anchor")
 
@@ -49,11 +78,8 @@ def remove_earlier(docs: DataFrame, window: int = 100) -> DataFrame:
             hot, at = list_slices(batch.column("anchor"))
             for texts in steps(batch.column("text")):
                 got = chosen(found(texts), np.unique(hot[at[texts.first]:at[texts.first + texts.rows]]))
-                size = got.end - got.begin + window - 1
-                cut = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                held = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cut), pa.py_buffer(texts.data[places(got.begin, got.begin + size)])])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(got.hash)), held, pa.array(keys[texts.first + got.row]), pa.array(got.begin - texts.starts[got.row])],
+                    [pa.array(signed(got.hash)), segments_of(texts, got, window), pa.array(keys[texts.first + got.row]), pa.array(got.begin - texts.starts[got.row])],
                     ["anchor", "segment", "key", "begin"])
 
     def order(key: str, begin: str):
@@ -63,15 +89,41 @@ def remove_earlier(docs: DataFrame, window: int = 100) -> DataFrame:
         key = F.floor(F.col(order) / F.lit(1 << 32).cast("decimal(10,0)"))
         return [key.cast("long").alias("key"), F.pmod(F.col(order), F.lit(1 << 32).cast("decimal(10,0)")).cast("long").alias("begin")]
 
-    cut = rows.select("key", "text").join(hot, "key").mapInArrow(segments, "anchor long, segment binary, key long, begin long")
-    cut = cut.select("anchor", "segment", order("key", "begin")).groupBy("anchor", "segment").agg(F.min("order").alias("order"))
-    cut = materialize(cut.select("anchor", "segment", *place("order")), "segments")
-    many = cut.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > INDEX_SEGMENTS).select("anchor")
-    large = many.limit(1).count() > 0
+    def longer(gram: int):
+        def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in parts(found, "segment", STEP_BYTES):
+                old, keys, at = (batch.column(c).to_numpy() for c in ("anchor", "key", "begin"))
+                for texts in steps(batch.column("segment")):
+                    got = found_anchors(texts, window, gram)
+                    row = texts.first + got.row
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(signed(pair(old[row].view(U), got.hash))), segments_of(texts, got, window), pa.array(keys[row]),
+                         pa.array(at[row] + got.begin - texts.starts[got.row])], ["anchor", "segment", "key", "begin"])
+
+        return batches
+
+    def distinct(cut: DataFrame) -> DataFrame:
+        """Equal segments of an anchor as one, at their first place."""
+        cut = cut.select("anchor", "segment", order("key", "begin")).groupBy("anchor", "segment").agg(F.min("order").alias("order"))
+        return materialize(cut.select("anchor", "segment", *place("order")), "segments")
+
+    kind = "anchor long, segment binary, key long, begin long"
+    left = distinct(rows.select("key", "text").join(hot, "key").mapInArrow(segments, kind))
+    cut = []
+    for gram in sizes[1:]:
+        many = left.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > INDEX_SEGMENTS).select("anchor")
+        many = materialize(many, "many")
+        if not many.limit(1).count():
+            break
+        cut.append(left.join(many, "anchor", "left_anti"))
+        left = distinct(left.join(many, "anchor", "left_semi").mapInArrow(longer(gram), kind))
+    cut = reduce(DataFrame.union, cut, left)
 
     def first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = ["key", "begin", "size"]
 
+        keep_small()
+
         def first_of(table: pa.Table) -> pa.RecordBatch:
             held = table.column("segment").combine_chunks().cast(pa.large_binary())
             held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
@@ -124,27 +176,9 @@ def remove_earlier(docs: DataFrame, window: int = 100) -> DataFrame:
         if len(one) < len(table):
             yield table.filter(pa.array(count > 1)), False
 
-    indexed = cut.join(many, "anchor", "left_anti") if large else cut
-    indexed = indexed.repartition("anchor").sortWithinPartitions("anchor", "key", "begin")
+    indexed = cut.repartition("anchor").sortWithinPartitions("anchor", "key", "begin")
     first = indexed.mapInArrow(first_windows, "key long, begin long, size long")
 
-    def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, "segment", STEP_BYTES):
-            keys, at = (batch.column(c).to_numpy() for c in ("key", "begin"))
-            for texts in steps(batch.column("segment")):
-                lengths = np.diff(texts.starts) - window + 1
-                row = np.repeat(np.arange(texts.rows), lengths)
-                begin = places(texts.starts[:-1], texts.starts[:-1] + lengths)
-                one = grams(doubled(BYTES[texts.data], window), window)[begin]
-                two = grams(doubled(spread(BYTES[texts.data]), window), window)[begin]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(one)), pa.array(signed(pair(two, two))), pa.array(keys[texts.first + row]), pa.array(at[texts.first + row] + begin - texts.starts[row])],
-                    ["one", "two", "key", "begin"])
-
-    if large:
-        lone = cut.join(many, "anchor", "left_semi").mapInArrow(single_windows, "one long, two long, key long, begin long")
-        lone = lone.select("one", "two", order("key", "begin")).groupBy("one", "two").agg(F.min("order").alias("order"))
-        first = first.union(lone.select(*place("order"), F.lit(1).cast("long").alias("size")))
     first = listed(first.select("key", F.shiftleft("begin", 32).bitwiseOR(F.col("size")).alias("first")), "first")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """Duplicate operators against brute force."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -35,15 +36,29 @@ def brute_earlier(rows, width):
     return out
 
 
-@pytest.mark.parametrize("segments", [8000, 3])
-def test_earlier_copies(odd, none, monkeypatch, segments):
+@pytest.mark.parametrize("segments, longer", [(8000, ()), (3, ()), (2, (25, 33))])
+def test_earlier_copies(odd, none, monkeypatch, segments, longer):
     monkeypatch.setattr(earlier_copies, "INDEX_SEGMENTS", segments)
+    monkeypatch.setattr(earlier_copies, "GRAMS", (20, *longer))
+    monkeypatch.setattr(earlier_copies, "PIECE", 5_000)  # the very long text comes in many pieces
     got = [(*tuple(r)[:4], bytes(r.kept)) for r in earlier_copies.remove_earlier(odd, 40).collect()]
     assert Counter(got) == Counter(brute_earlier(pairs(odd), 40))
     if segments == 3:
         assert earlier_copies.remove_earlier(none).collect() == []
 
 
+def test_anchor_with_many_segments(spark, monkeypatch):
+    """Texts that share a passage of 60 bytes in different surroundings, some twice: the anchor is split, whole windows at last."""
+    monkeypatch.setattr(earlier_copies, "INDEX_SEGMENTS", 20)
+    draw, shared = random.Random(3), "the very same words stand in each of these many texts, always"
+    texts = ["".join(draw.choice("abcdefgh ") for _ in range(50)) + shared + "".join(draw.choice("abcdefgh ") for _ in range(50)) for _ in range(150)]
+    texts += [t[10:] + "x" for t in texts[::3]] + ["y" + t for t in texts[::5]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(*tuple(r)[:4], bytes(r.kept)) for r in earlier_copies.remove_earlier(rows).collect()]
+    assert Counter(got) == Counter(brute_earlier(pairs(rows), 100))
+    assert sum(r[2] for r in got) > 0
+
+
 def test_earlier_copies_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = [(*tuple(r)[:4], bytes(r.kept)) for r in earlier_copies.remove_earlier(docs).collect()]
