@@ -56,8 +56,9 @@ def matches(text: Column, pattern: str, needed: Column) -> Column:
 
     def spans(found: Column) -> Column:
         def placed(pieces: Column) -> Column:
+            # Bound once: starts() reads the lengths again for every match.
             lengths = F.transform(found, lambda x, i: F.length(F.get(pieces, i)) + F.length(x))
-            return let(starts(lengths), lambda begin: F.transform(found, lambda x, i: F.struct(
+            return let(let(lengths, starts), lambda begin: F.transform(found, lambda x, i: F.struct(
                 (F.get(begin, i) + F.length(F.get(pieces, i))).alias("start"), (F.get(begin, i) + F.length(F.get(pieces, i)) + F.length(x)).alias("end"),
                 x.alias("value"), F.right(F.get(pieces, i), F.lit(24)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(24)).alias("after"))))
 

@@ -123,7 +123,7 @@ NO_SECRETS = personal_data.SpanClassifier({}, 0.5, dict.fromkeys(personal_data.F
 def test_base_spans(spark, odd, none):
     draw = random.Random(5)
     texts = ["".join(draw.choice("0123456789.@+-() abZ_%\U0001f600é,=") for _ in range(draw.randint(0, 120))) for _ in range(1500)]
-    texts += ["a@b.c%d@e.f.", "1.2.3.4.5.6.7.8", "0001.2.3.255 1.2.3.256", "5" * 4000, "a" * 30000 + "@x.y", "a.b@" * 3000, "1.2.3.4 " * 700, None]
+    texts += ["a@b.c%d@e.f.", "1.2.3.4.5.6.7.8", "0001.2.3.255 1.2.3.256", "5" * 4000, "a" * 30000 + "@x.y", "a.b@" * 3000, "1.2.3.4 " * 700, "1.2.3.4 " * 20_000, None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for frame in (docs, odd.select("doc_id", "text")):
         for r in personal_data.find(frame, NO_SECRETS).select("text", *(personal_data.written(k).alias(k) for k in PATTERNS)).collect():
