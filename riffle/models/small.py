@@ -56,6 +56,21 @@ def gram(pieces: np.ndarray, moments: dict[int, np.ndarray], cross: dict[int, np
     return g, b
 
 
+def rebased(cuts: np.ndarray, breaks: np.ndarray, sums: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Sums of powers of u between ``breaks``, from those between the finer ``cuts``.
+
+    In the interval u is shift + scale * (u of the stretch), both from 0 to 1, so no digits are lost.
+    """
+    out: dict[int, np.ndarray] = {}
+    for m, s in sums.items():
+        j = min(max(int(np.searchsorted(breaks, cuts[m], "right")) - 1, 0), len(breaks) - 2)
+        width = breaks[j + 1] - breaks[j]
+        shift, scale = (cuts[m] - breaks[j]) / width, (cuts[m + 1] - cuts[m]) / width
+        move = np.array([[math.comb(p, k) * shift ** (p - k) * scale ** k if k <= p else 0.0 for k in range(len(s))] for p in range(len(s))])
+        out[j] = out.get(j, 0.0) + move @ s
+    return out
+
+
 def roughness(pieces: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     """Integral of products of second derivatives, on x scaled to unit range."""
     n_int, width = pieces.shape[0], pieces.shape[1]

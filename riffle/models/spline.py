@@ -33,6 +33,8 @@ HOLD_STEP = 5
 QUANTILE_STEPS, BAND = 30, 6_000
 # A sample of fewer rows for each coefficient says too little about where the curve runs.
 ROWS_PER_COEFFICIENT = 200
+# Up to so many intervals are found by comparing with every border; more by halving.
+COMPARED = 20
 
 _ARRAY = T.ArrayType(T.DoubleType())
 FITTED = [
@@ -59,7 +61,8 @@ def place_knots(frame: DataFrame, keys: Sequence[str], grid: Sequence[tuple[int,
 
     def model(size: int, df: float | None) -> Column:
         inner = [F.get("quantiles", F.lit(fractions.index(i / small.intervals_of(size)))) for i in range(1, small.intervals_of(size))]
-        borders = F.array_distinct(F.array_sort(F.array(F.col("x_min"), *inner, F.col("x_max"))))
+        # Adding zero makes -0 and 0 one border.
+        borders = F.array_distinct(F.array_sort(F.transform(F.array(F.col("x_min"), *inner, F.col("x_max")), lambda b: b + 0.0)))
         return F.struct(
             F.lit(size).alias("smooth"), F.lit(df).cast("double").alias("df"), borders.alias("breaks"),
             (F.size(borders) <= small.intervals_of(size)).alias("reduced"),
@@ -82,10 +85,19 @@ def _with_models(frame: DataFrame, models: DataFrame, keys: Sequence[str], rows:
     other = F.broadcast(models) if rows <= BROADCAST_ROWS else models
     if most is None:
         passed = "greatest(0, least(size(breaks) - 2, size(filter(breaks, b -> x >= b)) - 1))"
-    else:
+    elif most <= COMPARED:
         passed = " + ".join(
             [f"cast(coalesce(x >= get(breaks, {j}) AND size(breaks) - 2 >= {j}, false) AS int)" for j in range(1, most)] or ["0"])
-    located = join(frame, other, keys).withColumn("interval", F.expr(passed))
+    located = join(frame, other, keys)
+    if most is not None and most > COMPARED:
+        # The last border ends the last interval; beyond the others there is nothing to pass.
+        located = located.withColumns({"inner_": F.expr("slice(breaks, 1, greatest(size(breaks) - 1, 1))"), "interval": F.lit(0)})
+        for p in reversed(range(int(most).bit_length())):
+            step = 1 << p
+            located = located.withColumn("interval", F.expr(f"interval + if(x >= get(inner_, interval + {step}), {step}, 0)"))
+        located = located.drop("inner_")
+    else:
+        located = located.withColumn("interval", F.expr(passed))
     place = "(x - get(breaks, interval)) / nullif(get(breaks, interval + 1) - get(breaks, interval), 0d)"
     return located.withColumn("u", F.expr(place))
 
@@ -117,7 +129,7 @@ def _solve(models: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Solve each model from its statistics; keeps the columns named in ``keep``."""
     keep = list(keep)
     schema = T.StructType([models.schema[c] for c in keep] + FITTED)
-    needed = [*keep, *[c for c in ("smooth", "breaks", "n", "reduced", "target_edf", "stats", "zz") if c not in keep]]
+    needed = [*keep, *[c for c in ("smooth", "breaks", "n", "reduced", "target_edf", "stats", "zz", "cuts") if c in models.columns and c not in keep]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -138,6 +150,9 @@ def _solve_one(row: dict) -> tuple:
     pieces = small.basis_pieces(breaks, degree)
     moments = {int(s["interval"]): np.asarray(s["s"], dtype=float) for s in row["stats"]}
     cross = {int(s["interval"]): np.asarray(s["t"], dtype=float) for s in row["stats"]}
+    if row.get("cuts") is not None:
+        cuts = np.asarray(row["cuts"], dtype=float)
+        moments, cross = small.rebased(cuts, breaks, moments), small.rebased(cuts, breaks, cross)
     g, b = small.gram(pieces, moments, cross)
     if not (np.isfinite(g).all() and np.isfinite(b).all()):
         return None, None, None, None, "no_convergence"
@@ -179,16 +194,23 @@ def fit_gaussian(frame: DataFrame, keys: Sequence[str], smooths: Sequence[int])
     ``frame`` has the key columns, ``x`` and ``y``. One row per model with its status, curve
     and statistics; failed models have no curve.
     """
-    most = max(small.intervals_of(k) for k in smooths)
+    # No more borders than different fractions of all sizes.
+    most = 1 + len({i / m for m in map(small.intervals_of, smooths) for i in range(1, m)})
     return fit_gaussian_on(place_knots(frame, keys, [(k, None) for k in smooths]), frame, keys, most)
 
 
 def fit_gaussian_on(knots: DataFrame, frame: DataFrame, keys: Sequence[str], most: int | None = None) -> DataFrame:
+    """Gaussian fits of all models in one pass over the rows, each of which is used once per configuration.
+
+    The sums are taken between the borders of all models of a configuration; sums between the borders of one model
+    follow from them. ``most`` bounds the number of those intervals.
+    """
     model_keys = [*keys, "smooth"]
-    rows = _with_models(frame, knots.select(*model_keys, "breaks"), keys, knots.count(), most)
-    stats = _aggregate(rows, model_keys, "1d", "y", {"zz": "y * y"})
+    cuts = knots.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("breaks")))).alias("breaks"))
+    rows = _with_models(frame, cuts, keys, knots.count(), most)
+    stats = join(_aggregate(rows, keys, "1d", "y", {"zz": "y * y"}), cuts.withColumnRenamed("breaks", "cuts"), keys)
     solved = _solve(
-        join(knots.withColumn("target_edf", F.col("df") + 1), stats, model_keys),
+        join(knots.withColumn("target_edf", F.col("df") + 1), stats, keys),
         [*model_keys, "df", "breaks", "n", "y_mean", "y_var", "reduced"],
     )
     return materialize(solved.withColumn("family", F.lit("gaussian")), "gaussian")

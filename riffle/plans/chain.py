@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from riffle import constants as C
 from riffle.functions import semantics as S
+from riffle.models import spline
 from riffle.operators import outcomes as O
 from riffle.operators.curves import class_levels, curve_thresholds
 from riffle.operators.limits import choose_models, limits_long
 from riffle.operators.ranks import discrete_quantiles
+from riffle.operators.roots import model_thresholds
 from riffle.operators.scores import sites_per_class, score_sites
 from riffle.plans import analysis, domain, fitted
 from riffle.plans.registry import query
@@ -43,10 +45,8 @@ def thresholds(r):
 
 def fitted_thresholds(r):
     """Crossings of the quantile splines of the chosen basis sizes and quantiles."""
-    tagged = fitted.curves(r, sorted({3, 6}), C.CHOSEN_QUANTILES).select(
-        F.col("Metric").alias("Index"), S.recode(F.col("flow_metric"), C.METRIC_CODES).alias("Hydro_endpoint"),
-        F.col("smooth").alias("SmoothingFunc"), F.col("quantile").alias("Quantile"), "x", "predictedVals")
-    return materialize(curve_thresholds(tagged, CURVE, "x", "predictedVals", class_levels()).select(*CURVE, *COLUMNS), "thresholds")
+    models = fitted.curve_names(spline.fit_quantile(fitted.frame(r), fitted.KEYS, [3, 6], C.CHOSEN_QUANTILES))
+    return materialize(model_thresholds(models, CURVE, class_levels()).select(*CURVE, *COLUMNS), "thresholds")
 
 
 def limits(r, found=thresholds):

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from riffle import constants as C
 from riffle.functions import semantics as S
 from riffle.models import lines, logistic, spline
+from riffle.models.custom import fit_each
 from riffle.models.frame import condition, direction, model_frame
-from riffle.operators.curves import class_levels, curve_thresholds, grid_ranges, regular_grid
+from riffle.operators.curves import class_levels, grid_ranges, regular_grid
 from riffle.operators.joins import join, lookup
 from riffle.operators.outcomes import fit_profile
+from riffle.operators.roots import model_thresholds
 from riffle.operators.scores import drop_augmented_peaks, flag_augmented_peaks
 from riffle.plans.registry import query
 from riffle.session import materialize, new_path
@@ -222,13 +224,31 @@ def md11(r):
         F.min("predictedVals").alias("lowest"), F.max("predictedVals").alias("highest"))
 
 
+def curve_names(models):
+    """Models under the column names of thresholds."""
+    named = models.withColumns({"Index": F.col("Metric"), "Hydro_endpoint": S.recode(F.col("flow_metric"), C.METRIC_CODES)})
+    return named.withColumnsRenamed({"smooth": "SmoothingFunc", "quantile": "Quantile"})
+
+
 @query("DM10_fitted_thresholds")
 def dm10_fitted(r):
-    """Crossings of the fitted curves with the threshold of every limit class."""
-    tagged = curves(r).select(
-        F.col("Metric").alias("Index"), S.recode(F.col("flow_metric"), C.METRIC_CODES).alias("Hydro_endpoint"),
-        F.col("smooth").alias("SmoothingFunc"), F.col("quantile").alias("Quantile"), "x", "predictedVals")
-    return curve_thresholds(tagged, ["Index", "Hydro_endpoint", "SmoothingFunc", "Quantile"], "x", "predictedVals", class_levels())
+    """Crossings of the fitted curves with the threshold of every limit class; curves without result have a row that says so."""
+    models = curve_names(spline.fit_quantile(frame(r), KEYS, SMOOTHS, QUANTILES))
+    return model_thresholds(models, ["Index", "Hydro_endpoint", "SmoothingFunc", "Quantile"], class_levels())
+
+
+def mean_thresholds(r, smooths):
+    """Crossings of the mean curves, the observations behind each, and how well observed and fitted values agree."""
+    rows = frame(r)
+    models = spline.fit_gaussian(rows, KEYS, smooths)
+    fitted = spline.predict(models, rows, KEYS, models.count())
+    agreement = fitted.groupBy(*KEYS, "smooth").agg(F.corr("y", "predictedVals").alias("correlation"))
+    return join(model_thresholds(models, [*KEYS, "smooth"], class_levels("Metric")), agreement, [*KEYS, "smooth"], "left")
+
+
+@query("DM10_mean_thresholds")
+def dm10_mean(r):
+    return mean_thresholds(r, SMOOTHS)
 
 
 _LINES = """SELECT Metric, flow_metric, count(*) AS n, round(regr_slope(y, x), 8) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS R2 FROM (
@@ -480,3 +500,42 @@ def uf1(r):
     {_STATUS} AS status FROM base""")
 def uf2(r):
     return logistic.fit_logistic(glm_frame(r), GLM_KEYS).select(*GLM_KEYS, "n", "status")
+
+
+_CLASS_LEVELS = ", ".join(f"({m!r}, {c!r}, {v}::double)" for m, row in C.BIO_THRESHOLDS.items() for c, v in row.items())
+
+
+@query("DM10_line_thresholds", f"""WITH f AS ({_OBSERVED}), m AS (SELECT Metric, flow_metric, count(*) AS n, min(x) AS lo, max(x) AS hi, regr_slope(y, x) AS b,
+      regr_intercept(y, x) AS a, abs(corr(y, x)) AS correlation FROM f GROUP BY ALL HAVING count(*) >= 4 AND min(x) < max(x)),
+    t AS (SELECT * FROM (VALUES {_CLASS_LEVELS}) v(Metric, class, level)),
+    c AS (SELECT Metric, flow_metric, class, (level - a) / b AS root FROM m JOIN t USING (Metric) WHERE b <> 0 AND (level - a) / b > lo AND (level - a) / b < hi)
+    SELECT Metric, flow_metric, n, round(correlation, 5) AS correlation, """ + ", ".join(
+        f"round(max(root) FILTER (class = '{n}'), 3) AS Threshold{n}_Lower" for n in C.LIMIT_CLASSES) + """
+    FROM m LEFT JOIN c USING (Metric, flow_metric) GROUP BY Metric, flow_metric, n, correlation""")
+def dm10_line(r):
+    """Crossings of straight mean curves: what SQL states of the mean curves."""
+    rows = mean_thresholds(r, [2]).filter(F.col("status").isin("ok", "reduced_k"))
+    return rows.select(*KEYS, "n", F.round("correlation", 5).alias("correlation"),
+                       *[F.round(f"Threshold{n}_Lower", 3).alias(f"Threshold{n}_Lower") for n in C.LIMIT_CLASSES])
+
+
+@query("UF1_user_function", f"""WITH f AS ({_OBSERVED}), m AS (SELECT Metric, flow_metric, count(*) AS n, avg(y) FILTER (x > 0) AS above, avg(y) FILTER (x < 0) AS below
+      FROM f GROUP BY ALL)
+    SELECT Metric, flow_metric, CASE WHEN above IS NOT NULL AND below IS NOT NULL THEN n END AS n, round(above - below, 6) AS gap,
+      CASE WHEN above IS NULL OR below IS NULL THEN 'failed' ELSE 'ok' END AS status,
+      CASE WHEN above IS NULL OR below IS NULL THEN 'ValueError: one side has no rows' END AS error FROM m""")
+def uf1_user(r):
+    """A user's function that fails for configurations with one side only; the others keep their rows."""
+
+    def gap(cells):
+        n_above, n_below = cells["n_above"].sum(), cells["n_below"].sum()
+        if not n_above or not n_below:
+            raise ValueError("one side has no rows")
+        return {"n": int(cells["n"].sum()), "gap": cells["sum_above"].sum() / n_above - cells["sum_below"].sum() / n_below}
+
+    above, below = F.col("x") > 0, F.col("x") < 0
+    found = fit_each(frame(r), KEYS, {
+        "n": F.count("*"), "n_above": F.count_if(above), "n_below": F.count_if(below),
+        "sum_above": F.sum(F.when(above, F.col("y")).otherwise(0.0)), "sum_below": F.sum(F.when(below, F.col("y")).otherwise(0.0)),
+    }, gap, "n long, gap double", cells=32)
+    return rounded(found, gap=6)

@@ -1,11 +1,14 @@
 """Crossings of curves and regular grids."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from riffle.operators.curves import curve_roots, curve_thresholds, regular_grid
+from riffle.models import spline
+from riffle.operators.curves import curve_roots, curve_thresholds, grid_ranges, regular_grid
+from riffle.operators.roots import curve_segments, model_roots, model_thresholds
 
 CURVES = {
     "none": [(0, 1.0), (1, 2.0)],
@@ -69,3 +72,56 @@ def test_regular_grid(spark):
     grid = regular_grid(ranges, "lo", "hi", "step", "x")
     sizes = {r.k: (r.n, r.lo_x, r.hi_x) for r in grid.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("lo_x"), F.max("x").alias("hi_x")).collect()}
     assert sizes == {"a": (11, 0.0, 1.0), "c": (30002, -1.0, 30000.0), "d": (1, 2.0, 2.0)}
+
+
+MODEL = "g string, family string, n long, status string, breaks array<double>, pieces array<double>"
+# Pieces of (u - 1/4)(u - 3/4) and the like, over ranges of several widths.
+PIECES = {
+    "two": ([0.0, 4.0], [0.1875, -1.0, 1.0, 0.0], [1.0, 3.0]),
+    "three": ([-1.0, 1.0], [-0.09375, 0.6875, -1.5, 1.0], [-0.5, 0.0, 0.5]),
+    "touch": ([0.0, 1.0], [0.25, -1.0, 1.0, 0.0], []),
+    "touch_below": ([0.0, 1.0], [-0.25, 1.0, -1.0, 0.0], []),
+    "inflection": ([0.0, 1.0], [-0.125, 0.75, -1.5, 1.0], [0.5]),
+    "at_border": ([0.0, 1.0, 3.0], [-1.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0], [1.0]),
+    "level_stretch": ([0.0, 1.0, 2.0, 3.0], [-1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0], [2.0]),
+    "level_touch": ([0.0, 1.0, 2.0, 3.0], [-1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, -2.0, 0.0, 0.0], []),
+    "starts_on": ([0.0, 1.0], [0.0, 1.0, 0.0, 0.0], []),
+    "constant": ([0.0, 1.0], [2.0, 0.0, 0.0, 0.0], []),
+}
+
+
+def test_roots_of_pieces(spark):
+    rows = [(g, "gaussian", 9, "ok", b, p) for g, (b, p, _) in PIECES.items()]
+    rows += [("failed", "gaussian", 2, "too_few_rows", None, None), ("log", "gamma", 9, "ok", [0.0, 1.0], [-1.0, 2.0, 0.0, 0.0]), (None, "gaussian", 5, "ok", [0.0, 2.0], [-1.0, 2.0, 0.0, 0.0])]
+    models = spark.createDataFrame(rows, MODEL)
+    got = {(r.g, r.level): r for r in model_roots(models, ["g"], {"zero": F.lit(0.0), "one": F.lit(1.0), "none": F.lit(None)}).collect()}
+    for g, (_, _, want) in PIECES.items():
+        row = got.get((g, "zero"))
+        assert (row.n_roots if row else 0) == len(want), g
+        assert [v for v in ([row.Lower, row.Upper] if row else []) if v is not None] == pytest.approx(want[:2], abs=1e-12), g
+    assert got["log", "one"].Lower == pytest.approx(0.5) and ("log", "zero") not in got and got[None, "zero"].Lower == pytest.approx(1.0)
+    wide = {r.g: r for r in model_thresholds(models, ["g"], {"l": F.lit(0.0)}).collect()}
+    assert len(wide) == len(rows) and wide["failed"].status == "too_few_rows" and wide["failed"].Thresholdl_Lower is None and wide["two"].Thresholdl_Upper == pytest.approx(3.0)
+    assert model_thresholds(models.limit(0), ["g"], {"l": F.lit(0.0)}).count() == 0
+
+
+def test_roots_agree_with_a_grid(spark):
+    rng = random.Random(3)
+    frame = spark.createDataFrame([(g, x, math.sin(k * x) + rng.gauss(0, 0.2)) for k, g in enumerate("abc", 1) for x in [rng.uniform(-3, 3) for _ in range(300)]],
+                                  "g string, x double, y double")
+    models = spline.fit_gaussian(frame, ["g"], [6, 12])
+    grid = regular_grid(grid_ranges(frame, ["g"], "x").withColumn("x_step", F.lit(0.001)), "x_min", "x_max", "x_step", "x").select("g", "x")
+    points = spline.predict(models, grid, ["g"], 6)
+    levels = {"low": F.lit(-0.31), "mid": F.lit(0.07), "high": F.lit(0.45)}
+    want = {(r.g, r.smooth, r.level): r for r in curve_roots(points, ["g", "smooth"], "x", "predictedVals", levels).collect()}
+    got = {(r.g, r.smooth, r.level): r for r in model_roots(models, ["g", "smooth"], levels).collect()}
+    assert want and set(got) == set(want)
+    for k, r in got.items():
+        assert r.n_roots == want[k].n_roots and r.Lower == pytest.approx(want[k].Lower, abs=1e-4) and (r.Upper or 0) == pytest.approx(want[k].Upper or 0, abs=1e-4)
+
+
+def test_segments_do_not_turn(spark):
+    models = spark.createDataFrame([(g, "gaussian", 9, "ok", b, p) for g, (b, p, _) in PIECES.items()], MODEL)
+    for r in curve_segments(models, ["g"]).collect():
+        slopes = [r.c1 + 2 * r.c2 * u + 3 * r.c3 * u * u for u in (r.u0 + (r.u1 - r.u0) * i / 50 for i in range(51))]
+        assert min(slopes) > -1e-9 or max(slopes) < 1e-9

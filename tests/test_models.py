@@ -201,3 +201,32 @@ def test_reduced_basis(spark):
     frame = table(spark, [("a", [1.0] * 50 + [2.0] * 3 + [3.0] * 3, list(range(56)))])
     row = spline.fit_gaussian(frame, ["g"], [20]).first()
     assert row.status == "reduced_k" and all(math.isfinite(v) for v in row.pieces)
+
+
+def test_moments_between_all_borders_give_those_of_each_model():
+    rng = np.random.default_rng(4)
+    x, y = rng.uniform(0, 10, 500), rng.normal(size=500)
+    cuts, breaks = np.array([0, 1, 2.5, 4, 7.5, 10.0]), np.array([0, 2.5, 10.0])
+
+    def sums(borders):
+        at = np.clip(np.searchsorted(borders, x, "right") - 1, 0, len(borders) - 2)
+        u = (x - borders[at]) / np.diff(borders)[at]
+        return {m: np.array([np.sum(y[at == m] * u[at == m] ** p) for p in range(7)]) for m in range(len(borders) - 1)}
+
+    want, got = sums(breaks), small.rebased(cuts, breaks, sums(cuts))
+    assert set(got) == set(want) and all(np.allclose(got[m], want[m], atol=1e-9) for m in want)
+
+
+def test_all_sizes_are_fitted_in_one_pass(spark, wave, monkeypatch):
+    x, y = wave
+    frame = table(spark, [("a", x, y), ("b", x ** 3, y), ("tied", np.round(x), y)])
+    joined, real = [], spline._with_models
+    monkeypatch.setattr(spline, "_with_models", lambda f, models, keys, *a: joined.append(models.groupBy(*keys).count().agg({"count": "max"}).first()[0]) or real(f, models, keys, *a))
+    sizes = [1, 2, 3, 6, 9, 12, 15, 18, 20, 31]
+    together = {(r.g, r.smooth): r for r in spline.fit_gaussian(frame, ["g"], sizes).collect()}
+    assert joined == [1]  # one row of borders for each configuration, whatever the number of sizes
+    for k in (1, 3, 9, 20):
+        for r in spline.fit_gaussian(frame, ["g"], [k]).collect():
+            other = together[r.g, k]
+            assert r.status == other.status and np.allclose(r.breaks, other.breaks)
+            assert np.allclose(r.pieces, other.pieces, atol=1e-6) and r.rss == pytest.approx(other.rss, rel=1e-7) and r.edf_total == pytest.approx(other.edf_total, rel=1e-5)
