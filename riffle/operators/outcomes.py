@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from riffle import constants as C
 from riffle.functions.semantics import if_else, ordinal, recode, share
 from riffle.operators.joins import full_lookup
-from riffle.operators.reshape import long_to_wide, wide_to_long, with_overall_classes
-from riffle.operators.scores import with_best_score
+from riffle.operators.reshape import long_to_wide, wide_to_long
 
 LIMIT_KEYS = ["Index", "Hydro_endpoint", "Threshold"]
 TALLY_KEYS = ["Index", "Hydro_endpoint", "Flow_Metric_Name", "Threshold", "Quantile", "metric"]
@@ -25,23 +24,20 @@ def site_values(all_data: DataFrame) -> DataFrame:
         .na.drop(subset=["deltah_final"])
         .withColumnsRenamed({
             "hydro_endpoints": "Hydro_endpoint", "Metric": "Index",
-            "channel_engineering_class": "Threshold", "MetricValue": "IndexValue",
+            "channel_engineering_class": "Threshold", "MetricValue": "IndexValue", "MetricValueMax": "IndexValueMax",
         })
         .drop("Class2")
     )
 
 
 def sites_with_limits(values: DataFrame, limits: DataFrame, limit_rows: int) -> DataFrame:
-    """Site values with their best score, once per class they belong to, and its limits.
+    """Distinct site values, their classes an array, once per class and with its limits.
 
-    The best score is found before the classes are opened and the limits joined, while the
-    table is smallest; neither step changes it. Duplicates go once, after the classes are
-    opened; as the limits of a class are unique, no later step needs to drop any. Limits of
-    classes without sites stay.
+    Nothing is shuffled: the classes are opened and the limits, unique per class, joined in place.
+    Limits of classes without sites stay.
     """
-    scored = with_overall_classes(with_best_score(values), "Threshold")
-    known = with_overall_classes(values.select(*LIMIT_KEYS).distinct(), "Threshold")
-    return full_lookup(scored, limits, LIMIT_KEYS, limit_rows, known)
+    opened = values.withColumn("Threshold", F.explode("Threshold"))
+    return full_lookup(opened, limits, LIMIT_KEYS, limit_rows, opened.select(*LIMIT_KEYS).distinct())
 
 
 def classify_outcome(df: DataFrame) -> DataFrame:

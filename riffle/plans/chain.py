@@ -50,15 +50,21 @@ def fitted_thresholds(r):
 
 
 def limits(r, found=thresholds):
-    return analysis.adjusted_limits(found(r), r.flow())
+    flow = r.written_flow()
+    return analysis.adjusted_limits(found(r), flow)
+
+
+def _on_sites(r, step, found):
+    known = materialize(limits(r, found), "limits")
+    return domain.on_sites(r, step, r.written_flow(), known, LIMIT_ROWS)
 
 
 def outcomes(r, found=thresholds):
-    return analysis.outcomes(r.all_data(), materialize(limits(r, found), "limits"), LIMIT_ROWS)
+    return _on_sites(r, analysis.outcomes, found)
 
 
 def report(r, found=thresholds):
-    return analysis.report(r.all_data(), materialize(limits(r, found), "limits"), LIMIT_ROWS)
+    return _on_sites(r, analysis.report, found)
 
 
 _CODES = "CASE flow_metric " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.METRIC_CODES.items()) + " END"

@@ -14,7 +14,7 @@ from riffle.operators.limits import choose_models, limits_long
 from riffle.plans import analysis
 from riffle.plans.registry import query
 from riffle.plans.relational import LABELLED, labelled
-from riffle.plans.roles import CURVES
+from riffle.plans.roles import CURVES, LABELS
 
 LIMIT_ROWS = len(CURVES) * len(C.LIMIT_CLASSES)
 EXTRACT_CLASSES = {"Natural": "Natural", "Hard Bottom": "Hard Bottom",
@@ -146,12 +146,19 @@ def limits(r):
     return analysis.adjusted_limits(r.thresholds(), r.flow())
 
 
+def on_sites(r, step, flow, limits, limit_rows=LIMIT_ROWS):
+    """A step of the analysis on the sites of the tables."""
+    return step(r.scores(), r.channel_class(), flow, r.labels(), limits, limit_rows, len(LABELS))
+
+
 def outcomes(r):
-    return analysis.outcomes(r.all_data(), limits(r), LIMIT_ROWS)
+    flow = r.written_flow()
+    return on_sites(r, analysis.outcomes, flow, analysis.adjusted_limits(r.thresholds(), flow))
 
 
 def report(r):
-    return analysis.report(r.all_data(), limits(r), LIMIT_ROWS)
+    flow = r.written_flow()
+    return on_sites(r, analysis.report, flow, analysis.adjusted_limits(r.thresholds(), flow))
 
 
 # The limits of the next two are fixed values; the site counts make the work grow with the tables.
@@ -213,7 +220,7 @@ _CLASS_REPORT = f"""{TALLY_SQL}, byclass AS (SELECT Index, FlowMetric, ModifiedC
 
 @query("DM14_best_score", f"WITH {_VALUES} SELECT masterid, sampleyear, Index, Threshold, Hydro_endpoint, deltah_final, IndexValueMax FROM best")
 def dm14(r):
-    return SC.best_score(analysis.site_values(r.all_data())).select(
+    return analysis.scored_values(r.scores(), r.channel_class(), r.written_flow(), r.labels(), len(LABELS)).select(
         "masterid", "sampleyear", "Index", "Threshold", "Hydro_endpoint", "deltah_final", "IndexValueMax")
 
 
