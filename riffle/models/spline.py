@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riffle.models import small
+from riffle.models.passes import indexed, moments, sums_per_interval, value
 from riffle.operators.joins import join, lookup
 from riffle.operators.reshape import stack_rows
 from riffle.session import BROADCAST_ROWS, materialize
@@ -119,7 +120,11 @@ def _aggregate(rows: DataFrame, model_keys: Sequence[str], weight: str, right: s
         total("w_", MOMENTS).alias("s"), total("r_", CROSS).alias("t"),
         *[F.expr(f"sum({v})").alias(name) for name, v in sums.items()],
     )
-    # At most as many rows per model as it has intervals.
+    return _per_model(per_interval, model_keys, list(sums))
+
+
+def _per_model(per_interval: DataFrame, model_keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """The sums of all intervals of a model; at most as many rows per model as it has intervals."""
     return per_interval.groupBy(*model_keys).agg(
         F.expr("collect_list(struct(interval, s, t))").alias("stats"), *[F.sum(n).alias(n) for n in sums]
     )
@@ -272,7 +277,8 @@ def fit_quantile(
     """
     base = fit_gaussian(frame, keys, sorted({*smooths, 1}))
     most = max(small.intervals_of(k) for k in smooths)
-    model_keys = [*keys, "smooth", "quantile"]
+    ids = ["smooth", "quantile"]
+    model_keys = [*keys, *ids]
     density = [NormalDist().pdf(NormalDist().inv_cdf(q)) for q in quantiles]
     each = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("quantile"), F.lit(p).alias("density")) for q, p in zip(quantiles, density)])).alias("q")
     kept = ["df", "breaks", "n", "y_mean", "y_var", "reduced"]
@@ -280,54 +286,100 @@ def fit_quantile(
     opened = base.select(*keys, "smooth", *kept, "edf_total", "lambda", "pieces", "status", spread.alias("spread"), each).select("*", "q.*").drop("q")
     none = lambda kind: F.lit(None).cast(kind)
     # Equal observations are one point with a weight, so that ties cannot fill a band.
-    points = materialize(frame.groupBy(*keys, "x", "y").agg(F.count("*").cast("double").alias("w")), "points")
-    held = points.groupBy(*keys).agg(F.count("*").alias("n_points"))
+    configs, points = indexed(frame, keys)
+    held = join(configs, points.groupBy("config").agg(F.count("*").alias("n_points")), ["config"])
     start = materialize(join(opened.filter("pieces IS NOT NULL"), held, keys).select(
-        *model_keys, *kept, "n_points", "edf_total", (F.col("lambda") * F.col("density") / F.col("spread")).alias("bend"), none(_ARRAY).alias("beta"),
+        *model_keys, *kept, "config", "n_points", "edf_total", (F.col("lambda") * F.col("density") / F.col("spread")).alias("bend"), none(_ARRAY).alias("beta"),
         none(_ARRAY).alias("pieces"), none("double").alias("half"), F.least(F.lit(1.0), F.greatest(F.lit(band), ROWS_PER_COEFFICIENT * F.col("smooth")) / F.col("n_points")).alias("rate"),
         none(_ARRAY).alias("before"), none("double").alias("half_before"), F.lit(False).alias("whole"), F.lit(False).alias("converged")), "quantile")
     count = start.count()
 
     def step(active: DataFrame, i: int) -> DataFrame:
-        drawn = F.pmod(F.xxhash64("x", "y", F.lit(i)), F.lit(1 << 30)) < F.col("rate") * (1 << 30)
-        source = points
+        place = F.pmod(F.xxhash64("x", "y", F.lit(i)), F.lit(1 << 30)) / (1 << 30)
+        source = points.withColumn("place", place)
         if i == 0:  # no curve yet: only a sample is looked at
-            rates = active.groupBy(*keys).agg(F.max("rate").alias("rate"))
-            source = lookup(points, rates, keys, count).where((F.col("rate") >= 1) | drawn).select(*points.columns)
-        rows = _with_models(source, active.select(*model_keys, "breaks", "pieces", "half", "rate", "before", "half_before"), keys, count, most)
-        rows = rows.withColumns({"gap": F.col("y") - curve_value(), "gap_before": F.col("y") - curve_value("before")})
-        rows = rows.withColumns({
-            "inside": F.expr("coalesce(abs(gap) <= half, true)"),
-            "lost": F.expr("coalesce(abs(gap_before) > half_before AND signum(gap_before) * signum(gap) < 0, false)")})
-        slope, u = F.expr("if(inside, 0d, w * (quantile - if(gap < 0, 1d, 0d)))"), F.col("u")
-        group = [*model_keys, "interval"]
-        sums = rows.groupBy(*group).agg(
-            F.array(*[F.sum(slope * p) for p in (F.lit(1.0), u, u * u, u * u * u)]).alias("t"), F.count_if("inside").alias("n_inside"), F.count_if("lost").alias("n_lost"))
-        # What is collected is the band, or a sample of it.
-        taken = rows.where(F.col("inside") & ((F.col("rate") >= 1) | drawn)).groupBy(*group).agg(F.collect_list(F.struct("u", "y", "w")).alias("taken"))
-        stats = join(sums, taken, group, "left").groupBy(*model_keys).agg(
-            F.collect_list(F.struct("interval", "t", "taken")).alias("stats"), F.sum("n_inside").alias("n_inside"), F.sum("n_lost").alias("n_lost"))
-        return _solve_bands(join(active, stats, model_keys), model_keys, band)
+            rates = active.groupBy("config").agg(F.max("rate").alias("rate"))
+            source = lookup(source, rates, ["config"], count).where((F.col("rate") >= 1) | (F.col("place") < F.col("rate"))).select(*source.columns)
+        stats = _band_sums(source, active.select("config", *ids, "breaks", "pieces", "half", "rate", "before", "half_before"), ids, count, most)
+        stats = stats.groupBy("config", *ids).agg(
+            F.collect_list(F.struct("interval", "t", "taken")).alias("stats"), F.sum("n_inside").cast("long").alias("n_inside"), F.sum("n_lost").cast("long").alias("n_lost"))
+        return _solve_bands(join(active, stats, ["config", *ids]), [*model_keys, "config"], band)
 
     done = _iterate(start, step, steps, "quantile")
     settled = F.when(F.col("pieces").isNull(), "no_convergence").when(F.col("reduced"), "reduced_k").otherwise("ok")
     curves = materialize(done.withColumn("status", settled).select(
-        *model_keys, *kept, "edf_total", "pieces", "status"), "curves")
-    flat = curves.filter("smooth = 1").select(*keys, "quantile", F.get("pieces", F.lit(0)).alias("null_value"))
-    curves = join(curves if 1 in smooths else curves.filter("smooth <> 1"), flat, [*keys, "quantile"], "left")
-    rows = _with_models(points, curves.filter("pieces IS NOT NULL").select(*model_keys, "breaks", "pieces", "null_value"), keys, count, most)
-    rows = rows.withColumn("gap", F.col("y") - curve_value()).withColumn("slack", F.expr("1e-9 * (abs(y) + 1e-3)"))
-    score = "w * (quantile - if(y < null_value - slack, 1d, 0d))"
-    total = _aggregate(rows, model_keys, "w", score, {
-        # A curve runs through rows of the data; rounding does not put them below it.
-        "loss": "w * gap * (quantile - if(gap < 0, 1d, 0d))", "below": "if(gap < -slack, w, 0d)", "on_curve": "if(abs(gap) <= slack, w, 0d)",
-        "null_loss": "w * (y - null_value) * (quantile - if(y < null_value, 1d, 0d))", "sum_r": "w * gap", "sum_rr": "w * gap * gap", "scores": score})
-    tested = _rank_scores(join(curves, total, model_keys, "left"))
+        *model_keys, "config", *kept, "edf_total", "pieces", "status"), "curves")
+    flat = curves.filter("smooth = 1").select("config", "quantile", F.get("pieces", F.lit(0)).alias("null_value"))
+    curves = join(curves if 1 in smooths else curves.filter("smooth <> 1"), flat, ["config", "quantile"], "left")
+    total = _loss_sums(points, curves.filter("pieces IS NOT NULL").select("config", *ids, "breaks", "pieces", "null_value"), ids, count, most)
+    tested = _rank_scores(join(curves, total, ["config", *ids], "left").drop("config"))
     failed = opened.filter("pieces IS NULL").select(*model_keys, *kept, "status")
     failed = failed if 1 in smooths else failed.filter("smooth <> 1")
     return materialize(tested.unionByName(failed, allowMissingColumns=True).withColumn("family", F.lit("quantile")), "quantile")
 
 
+def _band_sums(points: DataFrame, active: DataFrame, ids: Sequence[str], rows: int, most: int) -> DataFrame:
+    """Of each interval of each curve: the pull ``t`` of the points outside its band, and those of the band that were drawn (``taken``).
+
+    ``n_inside`` counts the points in the band, ``n_lost`` those outside the band before that have changed their side.
+    """
+    if rows <= BROADCAST_ROWS:
+        def work(model, at, powers, y, w, place):
+            size, u = len(model["breaks"]) - 1, powers[1]
+            gap = y - value(model["pieces"], at, u) if model["pieces"] is not None else np.zeros(len(y))
+            inside = np.abs(gap) <= model["half"] if model["half"] is not None else np.ones(len(y), dtype=bool)
+            lost = np.zeros(len(y), dtype=bool)
+            if model["before"] is not None and model["half_before"] is not None:
+                before = y - value(model["before"], at, u)
+                lost = (np.abs(before) > model["half_before"]) & (np.sign(before) * np.sign(gap) < 0)
+            out = np.flatnonzero(~inside)
+            slope = w[out] * (model["quantile"] - (gap[out] < 0))
+            drawn = np.flatnonzero(inside & (place < model["rate"]) if model["rate"] < 1 else inside)
+            return {
+                "t": moments(at[out], size, slope, [None, *(p[out] for p in powers[1:CROSS])]), "n_inside": np.bincount(at[inside], minlength=size),
+                "n_lost": np.bincount(at[lost], minlength=size), "taken": (at[drawn], u[drawn], y[drawn], w[drawn])}
+
+        return sums_per_interval(points.select("config", "x", "y", "w", "place"), active, ids, work, {"t": CROSS, "n_inside": 1, "n_lost": 1}, ["u", "y", "w"])
+    located = _with_models(points, active, ["config"], rows, most)
+    located = located.withColumns({"gap": F.col("y") - curve_value(), "gap_before": F.col("y") - curve_value("before")})
+    located = located.withColumns({
+        "inside": F.expr("coalesce(abs(gap) <= half, true)"),
+        "lost": F.expr("coalesce(abs(gap_before) > half_before AND signum(gap_before) * signum(gap) < 0, false)")})
+    slope, u = F.expr("if(inside, 0d, w * (quantile - if(gap < 0, 1d, 0d)))"), F.col("u")
+    group = ["config", *ids, "interval"]
+    sums = located.groupBy(*group).agg(
+        F.array(*[F.sum(slope * p) for p in (F.lit(1.0), u, u * u, u * u * u)]).alias("t"), F.count_if("inside").alias("n_inside"), F.count_if("lost").alias("n_lost"))
+    # What is collected is the band, or a sample of it.
+    taken = located.where(F.col("inside") & ((F.col("rate") >= 1) | (F.col("place") < F.col("rate")))).groupBy(*group).agg(F.collect_list(F.struct("u", "y", "w")).alias("taken"))
+    return join(sums, taken, group, "left")
+
+
+def _loss_sums(points: DataFrame, curves: DataFrame, ids: Sequence[str], rows: int, most: int) -> DataFrame:
+    """One row per quantile curve: the moments of its intervals and rank scores (``stats``), its loss, and the points below and on it."""
+    if rows <= BROADCAST_ROWS:
+        def work(model, at, powers, y, w):
+            size, tau, null = len(model["breaks"]) - 1, model["quantile"], model["null_value"]
+            # A curve runs through rows of the data; rounding does not put them below it.
+            gap, slack = y - value(model["pieces"], at, powers[1]), 1e-9 * (np.abs(y) + 1e-3)
+            found = {
+                "s": moments(at, size, w, powers), "loss": w * gap * (tau - (gap < 0)), "below": w * (gap < -slack), "on_curve": w * (np.abs(gap) <= slack),
+                "sum_r": w * gap, "sum_rr": w * gap * gap}
+            null = math.nan if null is None else null
+            score = w * (tau - (y < null - slack)) if null == null else np.full(len(y), math.nan)
+            found |= {"t": moments(at, size, score, powers[:CROSS]), "scores": score, "null_loss": w * (y - null) * (tau - (y < null))}
+            return {k: v if v.ndim > 1 else np.bincount(at, v, size) for k, v in found.items()}
+
+        names = ["loss", "below", "on_curve", "null_loss", "sum_r", "sum_rr", "scores"]
+        found = sums_per_interval(points, curves, ids, work, {"s": MOMENTS, "t": CROSS, **dict.fromkeys(names, 1)})
+        return _per_model(found, ["config", *ids], names)
+    located = _with_models(points, curves, ["config"], rows, most)
+    located = located.withColumn("gap", F.col("y") - curve_value()).withColumn("slack", F.expr("1e-9 * (abs(y) + 1e-3)"))
+    score = "w * (quantile - if(y < null_value - slack, 1d, 0d))"
+    return _aggregate(located, ["config", *ids], "w", score, {
+        "loss": "w * gap * (quantile - if(gap < 0, 1d, 0d))", "below": "if(gap < -slack, w, 0d)", "on_curve": "if(abs(gap) <= slack, w, 0d)",
+        "null_loss": "w * (y - null_value) * (quantile - if(y < null_value, 1d, 0d))", "sum_r": "w * gap", "sum_rr": "w * gap * gap", "scores": score})
+
+
 def _solve_bands(models: DataFrame, model_keys: Sequence[str], band: int) -> DataFrame:
     """Solve each model on the rows of its band; what it hands on is the state of the next round."""
     schema = T.StructType([f for f in models.schema if f.name not in ("stats", "n_inside", "n_lost")])

@@ -230,3 +230,22 @@ def test_all_sizes_are_fitted_in_one_pass(spark, wave, monkeypatch):
             other = together[r.g, k]
             assert r.status == other.status and np.allclose(r.breaks, other.breaks)
             assert np.allclose(r.pieces, other.pieces, atol=1e-6) and r.rss == pytest.approx(other.rss, rel=1e-7) and r.edf_total == pytest.approx(other.edf_total, rel=1e-5)
+
+
+def test_quantile_curves_are_not_joined_to_the_rows(spark, monkeypatch):
+    """Rows meet the curves in one sum per task; the curves of the joined path, for very many of them, are the same."""
+    rng = np.random.default_rng(21)
+    x = rng.uniform(-3, 3, 4000)
+    groups = [("a", x, np.sin(x) + rng.standard_t(3, 4000)), (None, np.round(x), np.round(rng.normal(0, 2, 4000))), ("flat", [2.0] * 5, [1, 2, 3, 4, 5])]
+    frame = table(spark, groups)
+    joined, real = [], spline._with_models
+    monkeypatch.setattr(spline, "_with_models", lambda *a: joined.append(a) or real(*a))
+    fit = lambda: spline.summarize(spline.fit_quantile(frame, ["g"], [2, 9], [0.9, 0.5], band=300)).toPandas().sort_values(["g", "smooth", "quantile"])
+    summed = fit()
+    assert len(joined) == 1  # the mean curves, one row of borders for each configuration
+    monkeypatch.setattr(spline, "BROADCAST_ROWS", 0)
+    other = fit()
+    assert len(joined) > 3 and len(summed) == len(other) == 12
+    assert list(summed.status) == list(other.status) and (summed.status == "constant_x").sum() == 4
+    for c in ("loss", "below", "on_curve", "null_loss", "sum_r", "sum_rr", "R2", "PValue", "DevExplained"):
+        assert np.allclose(summed[c].astype(float), other[c].astype(float), rtol=1e-6, atol=1e-6, equal_nan=True), c
