@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riffle.operators.joins import join
-from riffle.session import materialize
+from riffle.session import BROADCAST_ROWS, materialize
+
+# Slices of the range of a group, of which only those with an asked rank are ranked.
+SLICES = 64
 
 
 def stretches(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
@@ -95,22 +99,40 @@ def box_summary(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
 def discrete_quantiles(df: DataFrame, keys: Sequence[str], x: str, quantiles: Sequence[float]) -> DataFrame:
     """(keys, ``Quantile``, ``x``): the smallest value that at least the given share of a group does not exceed.
 
-    Exact: equal values are counted first, then ranked in stretches, so no task holds a group. Missing values are left
-    out; a group without values has no rows.
+    Exact. Rows are counted in slices of the range of their group, and only those in a slice that holds an asked rank are
+    ranked: equal values are counted first, then ranked in stretches, so no task holds a group. ``df`` is read three times.
+    Missing values are left out; a group without values has no rows.
     """
     keys = list(keys)
-    counted = df.filter(F.col(x).isNotNull() & ~F.isnan(x)).groupBy(*keys, F.col(x).alias("x")).agg(F.count("*").alias("rows"))
-    cut = stretches(counted, keys, ["x"], "quantiles")
-    every = Window.partitionBy(*keys)
-    before = F.sum("rows").over(every.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
-    # One row for each stretch of a group.
-    offsets = cut.groupBy(*keys, "stretch").agg(F.sum("rows").alias("rows")).select(
-        *keys, "stretch", F.coalesce(before, F.lit(0)).alias("offset"), F.sum("rows").over(every).alias("total"))
-    upto = F.col("offset") + F.sum("rows").over(Window.partitionBy(*keys, "stretch").orderBy("x"))
-    ranked = join(cut, offsets, [*keys, "stretch"]).select(*keys, "x", "total", upto.alias("upto"))
-
-    def value(q: float):
-        asked = F.greatest(F.col("total") - F.floor(F.col("total") - F.lit(float(q)) * F.col("total")), F.lit(1))
-        return F.struct(F.lit(float(q)).alias("Quantile"), F.min(F.when(F.col("upto") >= asked, F.col("x"))).alias("x"))
-
-    return ranked.groupBy(*keys).agg(F.array(*[value(q) for q in quantiles]).alias("found")).select(*keys, F.inline("found"))
+    df = df.filter(F.col(x).isNotNull() & ~F.isnan(x)).select(*keys, F.col(x).alias("x"))
+    wide = F.col("x").cast("double")
+    finite = F.when(F.abs(wide) < float("inf"), wide)
+    ranges = materialize(df.groupBy(*keys).agg(F.count("*").alias("total"), F.min(finite).alias("low"), F.max(finite).alias("high")), "ranges")
+    groups = ranges.count()
+    few = lambda table: F.broadcast(table) if groups * len(quantiles) <= BROADCAST_ROWS else table
+    # The slice never falls as x rises, so all of a lower slice is below all of a higher one. Halves cannot overflow.
+    share = F.floor((wide / 2 - F.col("low") / 2) / F.nullif(F.col("high") / 2 - F.col("low") / 2, F.lit(0.0)) * SLICES)
+    at = F.when(wide < F.col("low"), 0).when(wide > F.col("high"), SLICES - 1).otherwise(F.least(F.coalesce(share, F.lit(0)), F.lit(SLICES - 1)))
+    placed = join(df, few(ranges.drop("total")), keys).select(*keys, "x", F.coalesce(at, F.lit(0)).cast("int").alias("slice"))
+
+    # At most SLICES rows for each group.
+    sliced = join(placed.groupBy(*keys, "slice").agg(F.count("*").alias("rows")), few(ranges.select(*keys, "total")), keys)
+    before = F.sum("rows").over(Window.partitionBy(*keys).orderBy("slice")) - F.col("rows")
+    asked = [F.greatest(F.col("total") - F.floor(F.col("total") - F.lit(float(q)) * F.col("total")), F.lit(1)) for q in quantiles]
+    here = reduce(lambda a, b: a | b, [(n > F.col("before")) & (n <= F.col("before") + F.col("rows")) for n in asked])
+    needed = materialize(sliced.withColumn("before", before).where(here).select(*keys, "slice", "before", "total"), "slices")
+
+    group = [*keys, "slice"]
+    counted = join(placed, few(needed.select(*group)), group).groupBy(*group, "x").agg(F.count("*").alias("rows"))
+    cut = stretches(counted, group, ["x"], "quantiles")
+    earlier = F.sum("rows").over(Window.partitionBy(*group).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    # One row for each stretch of a slice.
+    offsets = cut.groupBy(*group, "stretch").agg(F.sum("rows").alias("rows")).select(*group, "stretch", F.coalesce(earlier, F.lit(0)).alias("offset"))
+    offsets = join(offsets, needed, group)
+    upto = F.col("before") + F.col("offset") + F.sum("rows").over(Window.partitionBy(*group, "stretch").orderBy("x"))
+    ranked = join(cut, offsets, [*group, "stretch"]).select(*keys, "x", "total", upto.alias("upto"))
+
+    def value(q: float, n: Column) -> Column:
+        return F.struct(F.lit(float(q)).alias("Quantile"), F.min(F.when(F.col("upto") >= n, F.col("x"))).alias("x"))
+
+    return ranked.groupBy(*keys).agg(F.array(*[value(q, n) for q, n in zip(quantiles, asked)]).alias("found")).select(*keys, F.inline("found"))
