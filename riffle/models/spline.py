@@ -232,19 +232,17 @@ def fit_gamma(
     grid = [(int(k), None) for k in smooths] + [(int(df) + 4, float(df)) for df in dfs]
     most = max(small.intervals_of(k) for k, _ in grid)
     knots = place_knots(frame, keys, grid)
-    model_keys = [*keys, "smooth", "df"]
+    ids = ["smooth", "df"]
+    model_keys = [*keys, *ids]
     count = knots.count()
-    positive = knots.filter(F.col("y_min") > 0).withColumn("target_edf", F.col("df") + 1)
-    carried = [*model_keys, "breaks", "n", "y_mean", "y_var", "y_log", "reduced", "target_edf", "deviance", "sse", "converged"]
+    configs, points = indexed(frame, keys)
+    positive = join(knots.filter(F.col("y_min") > 0).withColumn("target_edf", F.col("df") + 1), configs, keys)
+    carried = [*model_keys, "config", "breaks", "n", "y_mean", "y_var", "y_log", "reduced", "target_edf", "deviance", "sse", "converged"]
 
     def step(active: DataFrame, i: int) -> DataFrame:
-        rows = _with_models(frame, active.select(*model_keys, "breaks", "pieces"), keys, count, most)
-        rows = rows.withColumn("eta", F.coalesce(curve_value(), F.expr("ln(y)"))).withColumn("mu", F.expr("exp(eta)"))
-        rows = rows.withColumn("z", F.expr("eta + (y - mu) / mu"))
-        stats = _aggregate(rows, model_keys, "1d", "z", {
-            "zz": "z * z", "loss": "2 * ((y - mu) / mu - ln(y) + eta)", "new_sse": "(y - mu) * (y - mu)"})
+        stats = _working_sums(points, active.select("config", *ids, "breaks", "pieces"), ids, count, most)
         held = F.expr("coalesce(target_edf, edf_total)") if i >= HOLD_STEP else F.col("target_edf")
-        new = join(active.drop("pieces"), stats, model_keys).withColumns({
+        new = join(active.drop("pieces"), stats, ["config", *ids]).withColumns({
             "converged": F.expr("coalesce(abs(loss - deviance) < 1e-7 * (abs(loss) + 0.1), false)"),
             "deviance": F.col("loss"), "sse": F.col("new_sse"), "target_edf": held,
         })
@@ -256,7 +254,27 @@ def fit_gamma(
     failed = knots.filter(~(F.col("y_min") > 0)).select(
         *model_keys, "breaks", "n", "y_mean", "y_var", "y_log", "reduced", F.lit("nonpositive_y").alias("status"))
     return materialize(
-        done.drop("target_edf").unionByName(failed, allowMissingColumns=True).withColumn("family", F.lit("gamma")), "gamma")
+        done.drop("target_edf", "config").unionByName(failed, allowMissingColumns=True).withColumn("family", F.lit("gamma")), "gamma")
+
+
+def _working_sums(points: DataFrame, active: DataFrame, ids: Sequence[str], rows: int, most: int) -> DataFrame:
+    """One row per Gamma curve: the sums of its next least squares (``stats``, ``zz``), its deviance ``loss`` and the squares of its residuals."""
+    names = ["zz", "loss", "new_sse"]
+    if rows <= BROADCAST_ROWS:
+        def work(model, at, powers, y, w):
+            size, ln_y = len(model["breaks"]) - 1, np.log(y)
+            eta = value(model["pieces"], at, powers[1]) if model["pieces"] is not None else ln_y
+            mu = np.exp(eta)
+            z = eta + (y - mu) / mu
+            return {
+                "s": moments(at, size, w, powers), "t": moments(at, size, w * z, powers[:CROSS]), "zz": np.bincount(at, w * z * z, size),
+                "loss": np.bincount(at, w * 2 * ((y - mu) / mu - ln_y + eta), size), "new_sse": np.bincount(at, w * (y - mu) * (y - mu), size)}
+
+        return _per_model(sums_per_interval(points, active, ids, work, {"s": MOMENTS, "t": CROSS, **dict.fromkeys(names, 1)}), ["config", *ids], names)
+    located = _with_models(points, active, ["config"], rows, most)
+    located = located.withColumn("eta", F.coalesce(curve_value(), F.expr("ln(y)"))).withColumn("mu", F.expr("exp(eta)"))
+    return _aggregate(located.withColumn("z", F.expr("eta + (y - mu) / mu")), ["config", *ids], "w", "w * z", {
+        "zz": "w * z * z", "loss": "w * 2 * ((y - mu) / mu - ln(y) + eta)", "new_sse": "w * (y - mu) * (y - mu)"})
 
 
 def fit_quantile(

@@ -249,3 +249,21 @@ def test_quantile_curves_are_not_joined_to_the_rows(spark, monkeypatch):
     assert list(summed.status) == list(other.status) and (summed.status == "constant_x").sum() == 4
     for c in ("loss", "below", "on_curve", "null_loss", "sum_r", "sum_rr", "R2", "PValue", "DevExplained"):
         assert np.allclose(summed[c].astype(float), other[c].astype(float), rtol=1e-6, atol=1e-6, equal_nan=True), c
+
+
+def test_gamma_curves_are_not_joined_to_the_rows(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    x = rng.uniform(0, 4, 500)
+    y = np.exp(0.5 + 0.4 * np.sin(2 * x)) * rng.gamma(9.0, 1 / 9.0, 500)
+    # Equal rows count as often as they come; a configuration may have no name.
+    frame = table(spark, [("a", [*x, *x[:90]], [*y, *y[:90]]), (None, np.round(x), y), ("neg", [1, 2, 3, 4, 5], [1, -1, 2, 2, 2])])
+    joined, real = [], spline._with_models
+    monkeypatch.setattr(spline, "_with_models", lambda *a: joined.append(a) or real(*a))
+    fit = lambda: spline.fit_gamma(frame, ["g"], smooths=[6], dfs=[4.0]).toPandas().sort_values(["g", "smooth", "df"])
+    summed = fit()
+    assert not joined and set(summed.status) <= {"ok", "reduced_k", "nonpositive_y"} and (summed.status == "nonpositive_y").sum() == 2
+    monkeypatch.setattr(spline, "BROADCAST_ROWS", 0)
+    other = fit()
+    assert joined and len(summed) == len(other) == 6 and list(summed.status) == list(other.status)
+    for c in ("n", "deviance", "sse", "edf_total"):
+        assert np.allclose(summed[c].astype(float), other[c].astype(float), rtol=1e-6, equal_nan=True), c
